@@ -15,7 +15,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: White space other than space and newline that some pattern could treat as such.
-ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF))) + "]")
 ODD_ASCII = re.compile("[\t\r\x0b\x0c\x1c-\x1f]")
 LOOSE = re.compile(" \n+ ")
 #: Units in a worker's cache; beyond it the cache starts anew.

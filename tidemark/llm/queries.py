@@ -13,6 +13,7 @@ from .quality_lm import classify
 from .quality_rules import quality_rules
 from .rans_store import round_trip
 from .secrets import secret_scan
+from .suffix_dedup import substring_dedup
 from .toxicity import toxicity
 
 
@@ -27,6 +28,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(_table(spark, sf_dir, "documents"), n=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 

@@ -114,7 +114,11 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray, symbols: np.ndarray, f
 def pack(doc_ids: list[int], texts: list[bytes]) -> bytes:
     """A frame of the documents' ids (each as bytes of u32)."""
     ids = np.frombuffer(b"".join(texts), "<u4")
-    symbols, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    every = np.bincount(ids)
+    symbols = np.flatnonzero(every).astype(np.uint32)
+    counts, place = every[symbols], np.zeros(len(every), np.int32)
+    place[symbols] = np.arange(len(symbols), dtype=np.int32)
+    place = place[ids]
     freq = frequencies(symbols, counts)
     low = np.concatenate([[0], np.cumsum(freq.astype(np.uint64))[:-1]]).astype(np.uint64)
     blocks = encode_blocks(ids, freq.astype(np.uint64), low, place)

@@ -17,9 +17,9 @@ from tokenizers import Tokenizer
 #: White space other than space and newline that some pattern could treat as such.
 ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF))) + "]")
 ODD_ASCII = re.compile("[\t\r\x0b\x0c\x1c-\x1f]")
-LOOSE = re.compile(" \n+ ")
+BREAKS = re.compile("\n+")
 #: Units in a worker's cache; beyond it the cache starts anew.
-CACHED = 300_000
+CACHED = 1_000_000
 CHUNK = 2000
 
 
@@ -33,6 +33,9 @@ class Encoder:
         vocabulary = self.tok.get_vocab()
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        self.newline = np.zeros(len(self.opens), bool)
+        self.newline[[i for t, i in vocabulary.items() if t == "Ċ"]] = True
+        self.fast = self.fast and self.newline.sum() == 1
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -40,24 +43,34 @@ class Encoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def units(self, text: str) -> list[str] | None:
-        if not self.fast or "  " in text or text.endswith(" ") or (ODD_ASCII if text.isascii() else ODD).search(text) or (" \n" in text and LOOSE.search(text)) or any(a in text for a in self.added):
+        if not self.fast or "  " in text or text.endswith(" ") or (ODD_ASCII if text.isascii() else ODD).search(text) or " \n" in text or "\n " in text or any(a in text for a in self.added):
             return None
+        # newlines between two other characters are parts of their own: lines begin units too
+        text = BREAKS.sub(r" \g<0>", text) if "\n\n" in text else text.replace("\n", " \n")
         return text.split(" ")
 
+    def _cut(self, cache: dict[str, bytes], units: list[str], text: str, begins: np.ndarray) -> None:
+        """Encode units in one text; begins: the ids of which one opens each unit and none stands elsewhere."""
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        data, at = ids.tobytes(), (np.append(np.flatnonzero(begins[ids]), len(ids)) * 4).tolist()
+        cache.update(zip(units, map(data.__getitem__, map(slice, at[:-1], at[1:]))))
+
     def _learn(self, cache: dict[str, bytes], found: set[str], lead: str) -> None:
-        new = [u for u in found if u not in cache]
-        plain = [u for u in new if lead and u and "\n" not in u]
-        for i in range(0, len(plain), CHUNK):
-            some = plain[i : i + CHUNK]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.append(np.flatnonzero(self.opens[ids]), len(ids))
-            data, at = ids.tobytes(), (at * 4).tolist()
-            cache.update(zip(some, (data[a:b] for a, b in zip(at[:-1], at[1:]))))
-        other = [u for u in new if not (lead and u and "\n" not in u)]
-        for i in range(0, len(other), CHUNK):
-            some = other[i : i + CHUNK]
-            for u, e in zip(some, self.tok.encode_batch_fast([lead + u for u in some], add_special_tokens=False)):
-                cache[u] = np.array(e.ids, "<u4").tobytes()
+        spaced, lines, other = [], [], []
+        for u in found - cache.keys():
+            if not lead or not u or "\n" in u[1:] or u == "\n":
+                other.append(u)
+            elif u[0] == "\n":
+                lines.append(u)
+            else:
+                spaced.append(u)
+        for i in range(0, len(spaced), CHUNK):
+            self._cut(cache, some := spaced[i : i + CHUNK], " " + " ".join(some), self.opens)
+        for i in range(0, len(lines), CHUNK):
+            self._cut(cache, some := lines[i : i + CHUNK], "".join(some), self.newline)
+        whole = [u if u[:1] == "\n" else lead + u for u in other]
+        for u, e in zip(other, self.tok.encode_batch_fast(whole, add_special_tokens=False) if whole else ()):
+            cache[u] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. A null text is empty."""

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .near_dup import near_duplicates
 from .packing import pack
 from .quality_lm import classify
 from .quality_rules import quality_rules
@@ -46,6 +47,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(docs, repo=F.concat_ws("/", "source", "lang"), owner="source")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 

@@ -1,9 +1,9 @@
 """Token ids of whole texts by the tokenizers library, without encoding a word again and again.
 
-A byte-level tokenizer splits a text before merging, and a single space between two other characters always begins a
-new part there. So a text's ids are those of its space-separated units, and units met before come from a cache. Texts
-for which that does not hold (runs with two spaces, other white space, added tokens) and other kinds of tokenizers
-take the library's plain path; the ids are the same either way.
+A byte-level tokenizer splits a text before merging, and a single space or newline between two words always begins a
+new part there. So the ids of a text are those of its words, each with the separator before it, and words met before
+come from a cache (by 64-bit hash). Texts where that does not hold (other white space or longer runs of it, added
+tokens) and other kinds of tokenizers take the library's plain path; the ids are the same either way.
 """
 
 from __future__ import annotations
@@ -12,15 +12,18 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: White space other than space and newline that some pattern could treat as such.
+from .hashing import U, Words, _table, mix, sums
+
+#: White space other than space and newline that some pattern could treat as such, and bytes with which it begins.
 ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF))) + "]")
-ODD_ASCII = re.compile("[\t\r\x0b\x0c\x1c-\x1f]")
-BREAKS = re.compile("\n+")
-#: Units in a worker's cache; beyond it the cache starts anew.
-CACHED = 1_000_000
-CHUNK = 2000
+SUSPECT = _table(bytes([9, *range(11, 14), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]))
+#: What stands before a word.
+LEADS = (b"", b" ", b"\n", b"\n\n")
+#: Words in a worker's cache; beyond it the cache starts anew. Words encoded at a time.
+CACHED, CHUNK = 1_000_000, 2000
 
 
 class Encoder:
@@ -28,63 +31,90 @@ class Encoder:
         self.tok = Tokenizer.from_str(definition)
         spec = json.loads(definition)
         pre = spec.get("pre_tokenizer") or {}
-        self.fast = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and not spec["model"].get("dropout") and not spec.get("truncation") and not spec.get("padding")
-        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         vocabulary = self.tok.get_vocab()
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.newline = np.zeros(len(self.opens), bool)
         self.newline[[i for t, i in vocabulary.items() if t == "Ċ"]] = True
-        self.fast = self.fast and self.newline.sum() == 1
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        plain = spec.get("normalizer") or spec["model"].get("dropout") or spec.get("truncation") or spec.get("padding")
+        self.fast = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not plain and self.newline.sum() == 1
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.cache: dict[int, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def units(self, text: str) -> list[str] | None:
-        if not self.fast or "  " in text or text.endswith(" ") or (ODD_ASCII if text.isascii() else ODD).search(text) or " \n" in text or "\n " in text or any(a in text for a in self.added):
-            return None
-        # newlines between two other characters are parts of their own: lines begin units too
-        text = BREAKS.sub(r" \g<0>", text) if "\n\n" in text else text.replace("\n", " \n")
-        return text.split(" ")
-
-    def _cut(self, cache: dict[str, bytes], units: list[str], text: str, begins: np.ndarray) -> None:
-        """Encode units in one text; begins: the ids of which one opens each unit and none stands elsewhere."""
+    def _cut(self, keys: list[int], text: str, begins: np.ndarray) -> None:
+        """Encode several words in one text; begins: the ids of which one opens each word and none stands elsewhere."""
         ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         data, at = ids.tobytes(), (np.append(np.flatnonzero(begins[ids]), len(ids)) * 4).tolist()
-        cache.update(zip(units, map(data.__getitem__, map(slice, at[:-1], at[1:]))))
-
-    def _learn(self, cache: dict[str, bytes], found: set[str], lead: str) -> None:
-        spaced, lines, other = [], [], []
-        for u in found - cache.keys():
-            if not lead or not u or "\n" in u[1:] or u == "\n":
-                other.append(u)
-            elif u[0] == "\n":
-                lines.append(u)
-            else:
-                spaced.append(u)
-        for i in range(0, len(spaced), CHUNK):
-            self._cut(cache, some := spaced[i : i + CHUNK], " " + " ".join(some), self.opens)
-        for i in range(0, len(lines), CHUNK):
-            self._cut(cache, some := lines[i : i + CHUNK], "".join(some), self.newline)
-        whole = [u if u[:1] == "\n" else lead + u for u in other]
-        for u, e in zip(other, self.tok.encode_batch_fast(whole, add_special_tokens=False) if whole else ()):
-            cache[u] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        self.cache.update(zip(keys, map(data.__getitem__, map(slice, at[:-1], at[1:]))))
+
+    def _learn(self, keys: list[int], words: list[bytes], leads: list[int]) -> None:
+        for lead in range(len(LEADS)):
+            some = [i for i, x in enumerate(leads) if x == lead]
+            for a in range(0, len(some), CHUNK):
+                part = some[a : a + CHUNK]
+                own = [keys[i] for i in part]
+                if lead == 1:
+                    self._cut(own, b"".join(b" " + words[i] for i in part).decode(), self.opens)
+                elif lead == 2:
+                    self._cut(own, b"".join(b"\n" + words[i] for i in part).decode(), self.newline)
+                else:
+                    for k, e in zip(own, self.tok.encode_batch_fast([(LEADS[lead] + words[i]).decode() for i in part], add_special_tokens=False)):
+                        self.cache[k] = np.array(e.ids, "<u4").tobytes()
+
+    def _regular(self, w: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows have only single spaces and one or two newlines between words; the lead of every word."""
+        head = np.zeros(len(w.start), bool)
+        head[w.first[:-1][w.count > 0]] = True
+        gap = w.start - np.concatenate([[0], w.end[:-1]])[: len(w.start)]
+        before = w.raw[np.maximum(w.start - 1, 0)] if len(w.start) else w.raw[:0]
+        lead = np.where(gap == 1, np.where(before == 32, 1, 2), 3)
+        bad = (gap > 2) | (gap == 1) & (before != 32) & (before != 10) | (gap == 2) & ((before != 10) | (w.raw[np.maximum(w.start - 2, 0)] != 10))
+        bad[head] = (w.start != w.offsets[:-1][w.doc])[head]
+        lead[head] = 0
+        good = w.per_doc(bad) == 0
+        some = w.count > 0
+        good[some] &= w.end[w.first[1:][some] - 1] == w.offsets[1:][some]
+        good &= some | (np.diff(w.offsets) == 0)
+        data = w.raw.tobytes()
+        if any(a.encode() in data for a in self.added):
+            good &= np.array([not t or not any(a in t for a in self.added) for t in texts.to_pylist()])
+        for i in np.flatnonzero(good & (sums(SUSPECT[w.raw], w.offsets) > 0)).tolist():
+            good[i] = not ODD.search(texts[i].as_py())
+        return good, lead
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. A null text is empty."""
-        split = [self.units(t) if t else [""] for t in texts]
-        if len(self.later) > CACHED or len(self.first) > CACHED:
-            self.later, self.first = {}, {}
-        later: set[str] = set()
-        for u in split:
-            if u:
-                later.update(u[1:])
-        self._learn(self.first, {u[0] for u in split if u}, "")
-        self._learn(self.later, later, " ")
-        get = self.later.__getitem__
-        return [self.plain(t) if u is None else self.first[u[0]] + b"".join(map(get, u[1:])) for t, u in zip(texts, split)]
+        if not self.fast:
+            return [self.plain(t) if t else b"" for t in texts.to_pylist()]
+        w = Words(texts)
+        good, lead = self._regular(w, texts)
+        used = np.flatnonzero(good[w.doc])
+        key = mix(w.hashes()[used] + lead[used].astype(U) * U(0x632BE59BD9B4E019))
+        distinct, inverse = np.unique(key, return_inverse=True)
+        if len(self.cache) > CACHED:
+            self.cache = {}
+        names = distinct.tolist()
+        found = list(map(self.cache.get, names))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            one = np.empty(len(distinct), np.int64)
+            one[inverse] = used
+            at, data = one[new], w.raw.tobytes()
+            self._learn([names[i] for i in new], [data[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist())], lead[at].tolist())
+            for i in new:
+                found[i] = self.cache[names[i]]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        count = np.zeros(len(w.start), np.int64)
+        count[used] = size[inverse]
+        end = np.cumsum(count)
+        ids = flat[np.repeat(begin[inverse] - (end - count)[used], count[used]) + np.arange(end[-1] if len(end) else 0)]
+        edges = (np.concatenate([[0], end])[w.first] * 4).tolist()
+        data = ids.tobytes()
+        return [data[a:b] if g else self.plain(t.as_py()) for g, a, b, t in zip(good.tolist(), edges[:-1], edges[1:], texts)]
 
 
 _encoders: dict[int, Encoder] = {}

@@ -161,8 +161,8 @@ def line_texts(rows: DataFrame, least: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "line long, payload string")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, cap: int = 1000) -> DataFrame:
-    """(doc_id, tag, n_lines, n_removed, kept_text): every row without the lines that repeat an earlier one."""
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, cap: int = 1000) -> DataFrame:
+    """(doc_id, tag, gone): numbers of the lines that repeat an earlier one; tag is a hash of the row's text."""
     if least < edits + 1:
         raise ValueError("lines must be at least edits + 1 long")
     spark = docs.sparkSession
@@ -206,7 +206,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = keyed.join(first, "key").where(F.struct("doc_id", "tag", "number") != F.col("f")).groupBy("doc_id", "tag").agg(F.collect_set("number").alias("gone"))
     gone = stage(gone, "gone")
     reclaim(spark)
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: ~F.array_contains("gone", x.i)).t, "\n")
-    out = rows.join(gone, ["doc_id", "tag"], "left")
-    return out.select("doc_id", "tag", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept_text"))
+    return gone
+
+
+def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with the text of each row without its repeated lines; and _n_lines, _n_removed."""
+    marks = gone.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("gone").alias("_gone"))
+    lines, text = F.split(text_col, "\n"), F.col(text_col)
+    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: ~F.array_contains("_gone", x.i)).t, "\n")
+    out = docs.join(marks, (docs[id_col].cast("long") == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_tag")), "left")
+    out = out.withColumns({"_n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text_col: F.when(F.col("_gone").isNull(), text).otherwise(kept)})
+    return out.select(*[F.col(c) for c in docs.columns], "_n_lines", "_n_removed")
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """(doc_id, n_lines, n_removed, kept_text): every row without the lines that repeat an earlier one."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    out = without_lines(rows, repeated_lines(rows, **options))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("text").alias("kept_text"))

@@ -59,9 +59,10 @@ def exact_links(members: DataFrame, prepare: Callable[[pa.Table], object], linke
     more than ``cap`` members is dealt into blocks. Blocks are linked inside first; then every member outside its
     cluster's largest component so far is compared with all blocks. Pairs inside that component are connected already,
     so no link is lost, and the work grows with the blocks times the members outside it."""
+    members = stage(members, "cluster-members")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("c"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / cap)).cast("int")
-    dealt = stage(members.join(sizes, "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "members")
+    dealt = members.join(stage(sizes, "cluster-sizes"), "cluster").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     n = parts(members) * 2
     bucket = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(n)).alias("bucket")
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +37,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def reclaim(spark: SparkSession) -> None:
     """Let the JVM collect finished plans, so that the context cleaner removes the shuffle files of steps
     whose results are already in a written table. Changes no result; bounds the disk that a chain of steps holds."""
+    gc.collect()  # plans that Python still holds in cycles
     spark.sparkContext._jvm.System.gc()
 
 
@@ -45,3 +50,26 @@ def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mo
     """Only the columns an operator reads, under fixed names; other columns, whatever their names, are not touched.
     A row without an id cannot be reported and is left out."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in more]).where(F.col("doc_id").isNotNull())
+
+
+#: Bits of a filter of ids (16 MiB), whatever the number of ids.
+FILTER_BITS = 1 << 27
+
+
+def maybe_in(ids: DataFrame, column: str) -> Callable[[str], Column]:
+    """A test whether a value may be in ids[column]: true for all that are, and for few others as long as there are
+    fewer ids than ``FILTER_BITS``. Its size is fixed, so it is broadcast; joins behind it stay exact."""
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS)) + 1
+    places = ids.select(slot(column).alias("s"))
+    found = places.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    data = np.zeros(FILTER_BITS // 8, np.uint8)
+    for b, bits in found.toLocalIterator():  # at most FILTER_BITS / 32768 rows of 4 KiB
+        data[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(data)
+
+    @F.pandas_udf("boolean")
+    def test(s: pd.Series) -> pd.Series:
+        at = s.to_numpy() - 1
+        return pd.Series((shared.value[at >> 3] >> (at & 7)) & 1 == 1)
+
+    return lambda c: test(slot(c))

@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import U, Words, mix, runs, slices
-from .shared import parts, reclaim, stage
+from .shared import maybe_in, parts, reclaim, stage
 
 #: Words of the anchors' hashes. Suffixes in a group, beyond which its prefix grows, and the lengths that prefixes grow through.
 ANCHOR, GROUP, PREFIXES = 5, 200_000, (1, 2, 4, 8)
+#: Heavy prefixes of a level that are broadcast; more are joined.
+LISTED = 100_000
 
 
 def anchors(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +74,7 @@ def shared_anchors(rows: DataFrame, n: int) -> DataFrame:
     buckets = parts(rows) * 2
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=8 << 20):
+        for b in slices(batches, most=4 << 20):
             got: list[tuple] = []
             for s in slices(iter([b])):
                 w = Words(s.column("text"))
@@ -138,7 +140,7 @@ def segments(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
     names = [x.split()[0] for x in SEGMENT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=8 << 20):
+        for b in slices(batches, most=2 << 20):
             out: list[tuple] = []
             least: dict[bytes, int] = {}
             for s in slices(iter([b])):
@@ -162,18 +164,19 @@ def segments(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*final), kinds)], names)
 
     by_doc = found.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    return rows.join(by_doc, "doc_id").select("doc_id", "tag", "text", "at").mapInArrow(run, ", ".join(SEGMENT))
+    some = rows.where(maybe_in(found, "doc_id")("doc_id"))
+    return some.join(by_doc, "doc_id").select("doc_id", "tag", "text", "at").mapInArrow(run, ", ".join(SEGMENT))
 
 
 def grouped(some: DataFrame, group: int = GROUP) -> DataFrame:
     """Segments with a group each: by the shortest prefix that at most ``group`` segments share, or the longest there is."""
-    last, heavy = len(PREFIXES) - 1, some
-    key = F.col(f"p{last}")
-    marked = some
+    last, within, marked = len(PREFIXES) - 1, some, some
+    # a level has at most (segments / group) heavy prefixes
+    small = F.broadcast if some.count() // group <= LISTED else lambda df: df
     for k in range(last):
-        heavy = (heavy if k == 0 else heavy.join(many, f"p{k - 1}", "left_semi"))  # noqa: F821
-        many = heavy.groupBy(f"p{k}").agg(F.count("*").alias("c")).where(F.col("c") > group).select(f"p{k}")
-        marked = marked.join(many.withColumn(f"h{k}", F.lit(True)), f"p{k}", "left")
+        many = stage(within.groupBy(f"p{k}").agg(F.count("*").alias("c")).where(F.col("c") > group).select(f"p{k}", F.lit(True).alias(f"h{k}")), "heavy")
+        marked, within = marked.join(small(many), f"p{k}", "left"), within.join(small(many), f"p{k}", "left_semi")
+    key = F.col(f"p{last}")
     for k in range(last - 1, -1, -1):
         key = F.when(F.col(f"h{k}").isNull(), F.col(f"p{k}")).otherwise(key)
     return marked.select("doc_id", "tag", "begin", "windows", "words", key.alias("prefix"))
@@ -206,30 +209,48 @@ def tree(words: list[bytes], windows: np.ndarray, ids: np.ndarray, n: int) -> tu
 
 
 def repeats(some: DataFrame, n: int) -> DataFrame:
-    """(doc_id, tag, at): first words (packed) of the windows that a smaller id has too."""
+    """(doc_id, tag, at): first words (packed) of the windows that a smaller id has too, a row for each document."""
+    groups = parts(some) * 2
+
+    def packed(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        """Positions by bucket of documents: a row for each bucket, however many documents."""
+        bucket = (doc & 0x7FFFFFFF) % groups
+        order = np.lexsort((pos, tag, doc, bucket))
+        edges = np.searchsorted(bucket[order], np.arange(groups + 1))
+        some_ = np.flatnonzero(np.diff(edges))
+        cut = [order[edges[k] : edges[k + 1]] for k in some_.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(some_.astype(np.int32)), *[pa.array([x[i].tobytes() for i in cut], pa.binary()) for x in (doc, tag, pos)]], ["bucket", "docs", "tags", "pos"])
 
     def grow(table: pa.Table) -> pa.Table:
         doc, tag, begin, windows = (table[c].to_numpy() for c in ("doc_id", "tag", "begin", "windows"))
         least, owner = tree(table["words"].to_pylist(), windows, doc, n)
-        inside = np.concatenate([np.arange(c) for c in windows.tolist()])
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         hit = least < doc[owner]
-        owner, pos = owner[hit], (begin[owner] + inside)[hit].astype(np.int32)
-        order = np.lexsort((pos, tag[owner], doc[owner]))
-        owner, pos = owner[order], pos[order]
-        new = np.ones(len(owner), bool)
-        new[1:] = (doc[owner][1:] != doc[owner][:-1]) | (tag[owner][1:] != tag[owner][:-1])
-        first = np.flatnonzero(new)
-        return pa.table({"doc_id": doc[owner[first]], "tag": tag[owner[first]], "at": pa.array([pos[a:e].tobytes() for a, e in zip(first, np.append(first[1:], len(pos)))], pa.binary())})
+        owner, inside = owner[hit], inside[hit]
+        return pa.Table.from_batches([packed(doc[owner], tag[owner], (begin[owner] + inside).astype(np.int32))])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [np.arange(a, a + c, dtype=np.int32).tobytes() for a, c in zip(b.column("begin").to_pylist(), b.column("windows").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(at, pa.binary())], ["doc_id", "tag", "at"])
+            doc, tag, begin, windows = _arrays(b, "doc_id", "tag", "begin", "windows")
+            owner = np.repeat(np.arange(len(windows)), windows)
+            inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+            if len(owner):
+                yield packed(doc[owner], tag[owner], (begin[owner] + inside).astype(np.int32))
+
+    def by_document(table: pa.Table) -> pa.Table:
+        doc, tag, pos = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]]) for c, t in (("docs", np.int64), ("tags", np.int64), ("pos", np.int32)))
+        order = np.lexsort((pos, tag, doc))
+        doc, tag, pos = doc[order], tag[order], pos[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+        first = np.flatnonzero(new)
+        return pa.table({"doc_id": doc[first], "tag": tag[first], "at": pa.array([pos[a:e].tobytes() for a, e in zip(first, np.append(first[1:], len(pos)))], pa.binary())})
 
-    kind, groups = "doc_id long, tag long, at binary", parts(some) * 2
+    kind = "bucket int, docs binary, tags binary, pos binary"
     dealt = grouped(some.where("not covered")).withColumn("group", F.pmod(F.xxhash64("prefix"), F.lit(groups)))
     trees = dealt.groupBy("group").applyInArrow(grow, kind)
-    return trees.unionByName(some.where("covered").select("doc_id", "tag", "begin", "windows").mapInArrow(whole, kind))
+    covered = some.where("covered").select("doc_id", "tag", "begin", "windows").mapInArrow(whole, kind)
+    return trees.unionByName(covered).groupBy("bucket").applyInArrow(by_document, "doc_id long, tag long, at binary")
 
 
 def remove(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
@@ -251,8 +272,10 @@ def remove(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
             kept = [b" ".join(text[a:e]).decode() for a, e in zip(edges[:-1], edges[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w.count.astype(np.int64)), pa.array(w.per_doc(gone)), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    by_doc = found.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at"))
-    return rows.join(by_doc, ["doc_id", "tag"], "left").select("doc_id", "text", "at").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    by_doc = found.select("doc_id", "tag", F.array("at").alias("at"))
+    some = rows.withColumn("hit", maybe_in(found, "doc_id")("doc_id"))  # the other texts stay where they are
+    joined = some.where("hit").join(by_doc, ["doc_id", "tag"], "left").select("doc_id", "text", "at")
+    return joined.unionByName(some.where("not hit").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("at"))).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 13) -> DataFrame:

@@ -192,3 +192,19 @@ def stage_loss_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.stage_loss(rel, stages)
 
 
+
+
+@query()
+def recall_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets for the opening words of every 100th document, over first lines as records and all three channels."""
+    from ..plans.recall import Request, recall
+
+    docs = table(spark, sf_dir, "documents")
+    first = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 200)
+    records = docs.select(
+        F.col("doc_id").cast("string").alias("atom"), F.lit("all").alias("source"), F.concat("source", F.lit(".example.org")).alias("site"), F.lit("visit").alias("kind"), first.alias("title"), F.lit(None).cast("string").alias("query"),
+        (as_of() - F.make_dt_interval(F.col("doc_id").cast("int") % 80)).alias("last_seen"), F.when(F.col("doc_id") % 9 == 0, F.lit("confirmed")).otherwise(F.lit("observed")).alias("state"), first.alias("effective_text"),
+        F.lit("unknown").alias("subject"), F.lit(False).alias("suppressed"), F.array().cast("array<string>").alias("corrections"), (F.col("doc_id") % 5).alias("sessions"),
+    )
+    asked = docs.where("doc_id % 100 = 0").select("doc_id", F.substring(first, 1, 80).alias("q")).orderBy("doc_id").limit(20).collect()  # the requests of one batch
+    return recall([Request(str(r.doc_id), "all", r.q) for r in asked], records, None, as_of(), ["src3.example.org"])

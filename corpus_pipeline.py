@@ -17,38 +17,43 @@ from tidemark.llm.line_dedup import repeated_lines, without_lines
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_lm import classify
-from tidemark.llm.shared import reclaim, stage
+from tidemark.llm.shared import reclaim, stage, without_ids
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's threshold."""
+    reclaim(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = classify(docs, labels).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    rejected = classify(docs, labels).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
+    return without_ids(docs, stage(rejected, "rejected"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one; n_chars follows the text."""
+    reclaim(spark)
     out = without_lines(docs, repeated_lines(docs))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near-duplicates (five-word shingles, 0.8 or more)."""
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    reclaim(spark)
+    copies = near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id")
+    return without_ids(docs, stage(copies, "copies"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    reclaim(spark)
     leaks = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, leaks)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences of 1024 tokens."""
+    reclaim(spark)
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -7,13 +7,15 @@ lost gives the same values.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -23,6 +25,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+#: What a worker may keep between tasks of one kind, by name: functions that let it go.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def give_back() -> None:
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def _table(members: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(members)] = True
@@ -45,7 +58,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base and of its inverse modulo 2**64."""
     if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(20, int(n).bit_length())
+        size = max(int(n), 1 << 16) + (1 << 14)  # no more than a slice needs: every worker holds them
         inverse = U(pow(int(_B), -1, 1 << 64))
         for name, base in (("up", _B), ("down", inverse)):
             steps = np.full(size, base, U)
@@ -69,8 +82,14 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of text; a longer text is alone in its batch."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text; a longer text is alone in its batch. At the end the
+    worker gives freed memory back to the system, since workers live on between tasks; at the start it lets go of what
+    tasks of other kinds than ``keep`` left."""
+    for name, free in KEPT.items():
+        if name != keep:
+            free()
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -81,6 +100,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = max(begin + 1, int(np.searchsorted(size, base + most, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    give_back()
 
 
 class Words:

@@ -196,7 +196,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reclaim(spark)
     clusters = stage(components(edges), "line-clusters")
     near = maybe_in(clusters, "node")  # most lines are in no cluster
-    members = line_texts(rows, least).where(near("line")).join(clusters, F.col("line") == F.col("node")).groupBy(F.col("component").alias("cluster"), F.col("line").alias("id")).agg(F.any_value("payload").alias("payload"))
+    members = near(line_texts(rows, least), "line", "_near").where("_near").join(clusters, F.col("line") == F.col("node")).groupBy(F.col("component").alias("cluster"), F.col("line").alias("id")).agg(F.any_value("payload").alias("payload"))
     links = exact_links(members, lambda table: table["payload"].to_pylist(), lambda what, x, rest: np.array([within(what[x], what[y], edits) for y in rest.tolist()], bool), cap)
     reclaim(spark)
     comp = components(links)
@@ -217,8 +217,7 @@ def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text
     kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: ~F.array_contains("_gone", x.i)).t, "\n")
     plain = docs.withColumns({"_gone": F.lit(None).cast("array<int>")})
     if not gone.isEmpty():
-        touched = maybe_in(gone, "doc_id")
-        some = docs.withColumn("_some", F.coalesce(F.when(F.col(id_col).isNotNull(), touched(id_col)), F.lit(False)))
+        some = maybe_in(gone, "doc_id")(docs, id_col, "_some")
         hit = some.where("_some").join(marks, (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_tag")), "left")
         plain = hit.select(*[F.col(c) for c in docs.columns], "_gone").unionByName(some.where("not _some").select(*[F.col(c) for c in docs.columns], F.lit(None).cast("array<int>").alias("_gone")))
     out = plain.withColumns({"_n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text_col: F.when(F.col("_gone").isNull(), text).otherwise(kept)})

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import candidate_edges, components, exact_links
-from .hashing import U, Words, keyed, mix, runs, slices
-from .shared import reclaim, stage
+from .hashing import U, Words, mix, slices
+from .shared import maybe_in, reclaim, stage
 
 COORDINATES, TREES, DEPTH = 128, 12, 6
 #: Standard deviations below the expected agreement of 128-bit sketches at the threshold.
@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = stage(candidate_edges(classes.select("rep", "sig"), emit, alike, lambda batches: slices(batches, "sig", 16 << 20)), "candidates")
     reclaim(spark)
     clusters = components(edges)
-    members = rows.join(clusters, rows.doc_id == clusters.node).select(F.col("component").alias("cluster"), F.col("doc_id").alias("id"), F.col("text").alias("payload"))
+    near = maybe_in(clusters, "node")  # most documents are in no cluster, and their texts need not travel
+    members = near(rows, "doc_id", "_near").where("_near").join(clusters, F.col("doc_id") == F.col("node")).select(F.col("component").alias("cluster"), F.col("doc_id").alias("id"), F.col("text").alias("payload"))
     links = exact_links(members, lambda table: _sets(table, shingle), lambda what, x, rest: _linked(what, x, rest, percent), cap)
     reclaim(spark)
     member = classes.select(*key, "rep")

@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str, most: int, end_id: int | None, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        for b in slices(batches, most=4 << 20):
+        for b in slices(batches, most=1 << 20, keep="tokens"):
             rows = []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                 ids += tail

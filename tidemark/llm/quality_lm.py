@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import U, buffer_of, mix, slices
-from .shared import stage
+from .shared import maybe_in, stage
 
 ORDER, BITS = 5, 18
 #: Short texts vary more: their threshold is higher by SHORT over the square root of their bytes.
@@ -62,7 +62,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for b in slices(batches):
+        for b in slices(batches, most=1 << 18):
             lang = np.array(b.column("lang").to_pylist(), object)
             code, doc, _ = codes(b.column("text"))
             for name in set(lang.tolist()):
@@ -125,7 +125,7 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
-        for x in slices(batches):
+        for x in slices(batches, most=1 << 18):
             own = [t if t in tables else POOLED for t in x.column("lang").to_pylist()]
             code, doc, offsets = codes(x.column("text"))
             prob = np.full(len(code), 1 / 256)
@@ -147,19 +147,22 @@ def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
             value = np.divide(np.diff(total[offsets]), n, out=np.zeros(len(n)), where=n > 0)
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("lang"), pa.array(own, pa.string()), pa.array(n), pa.array(value, mask=n == 0)], ["doc_id", "lang", "model", "n_bytes", "log_perplexity"])
 
-    return docs.mapInArrow(run, "doc_id long, lang string, model string, n_bytes long, log_perplexity double")
+    out = stage(docs.mapInArrow(run, "doc_id long, lang string, model string, n_bytes long, log_perplexity double"), "perplexity")
+    shared.destroy()
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Log-perplexity, threshold and verdict (``kept``) of every document. Trusted are the texts with label 1."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")).where("doc_id is not null")
     ids = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    trusted = rows.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    ids = stage(ids, "trusted")
+    trusted = maybe_in(ids, "doc_id")(rows, "doc_id", "_near").where("_near").drop("_near").join(ids, "doc_id", "left_semi")
     exact = stage(counts(trusted), "counts")
     sizes = trusted.groupBy("lang").agg(F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TRUSTED).orderBy(F.desc("texts"), "lang").limit(LANGUAGES)
     own = exact.join(F.broadcast(sizes.select("lang")), "lang", "left_semi")  # at most LANGUAGES rows
     pooled = exact.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "code", "n")
-    scored = stage(perplexities(rows, stage(shards(own.unionByName(pooled)), "shards")), "perplexity")
+    scored = perplexities(rows, stage(shards(own.unionByName(pooled)), "shards"))
     marks = scored.join(ids, "doc_id", "left_semi").where("log_perplexity is not null")
     limit = F.percentile_approx("log_perplexity", F.lit(quantile), F.lit(10000)) + margin
     limits = marks.groupBy("model").agg(limit.alias("own")).where(F.col("model") != POOLED)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .hashing import Words, _table, keyed, mix, runs, slices, sums
+from .hashing import Words, _table, keyed, runs, slices, sums
 from .shared import stage
 
 SYMBOLS = _table(b"#*$%&|<>")
@@ -103,7 +103,7 @@ def ratios() -> dict[str, Column]:
 
 def sketches(feats: DataFrame, accuracy: float = ACCURACY) -> DataFrame:
     """(lang, source, feature, bucket, n): the mergeable sketches of the documents that pass the base rule.
-    Values share a bucket if they differ by less than twice the accuracy; zero has bucket null -> -2**31."""
+    Values in a bucket differ by less than twice the accuracy; zero has the bucket -2**31."""
     gamma = float(np.log((1 + accuracy) / (1 - accuracy)))
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in ratios().items()])).alias("p")
     bucket = F.when(F.col("p.value") > 0, F.ceil(F.log(F.col("p.value")) / F.lit(gamma)).cast("int")).otherwise(F.lit(-(2**31)))

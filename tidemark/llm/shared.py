@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hashing import give_back
 
 _own: dict[str, str] = {}
 
@@ -20,14 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        if not _own:
+        if "dir" not in _own:
             _own["dir"] = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         found = _own["dir"]
     return found.rstrip("/")
 
 
+def _steady() -> None:
+    """On the driver, which lives long: blocks of 256 KiB and more are mapped and so go back to the system when freed."""
+    if not _own.get("steady"):
+        _own["steady"] = "yes"
+        if hasattr(libc := ctypes.CDLL(None), "mallopt"):
+            libc.mallopt(-3, 1 << 18)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: the lineage ends there, for every executor."""
+    _steady()
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -39,6 +48,7 @@ def reclaim(spark: SparkSession) -> None:
     whose results are already in a written table. Changes no result; bounds the disk that a chain of steps holds."""
     gc.collect()  # plans that Python still holds in cycles
     spark.sparkContext._jvm.System.gc()
+    give_back()
 
 
 def parts(df: DataFrame, least: int = 1) -> int:
@@ -52,24 +62,32 @@ def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mo
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in more]).where(F.col("doc_id").isNotNull())
 
 
-#: Bits of a filter of ids (16 MiB), whatever the number of ids.
-FILTER_BITS = 1 << 27
+#: Bits of a filter of ids (4 MiB), whatever the number of ids.
+FILTER_BITS = 1 << 25
 
 
-def maybe_in(ids: DataFrame, column: str) -> Callable[[str], Column]:
-    """A test whether a value may be in ids[column]: true for all that are, and for few others as long as there are
-    fewer ids than ``FILTER_BITS``. Its size is fixed, so it is broadcast; joins behind it stay exact."""
+def maybe_in(ids: DataFrame, column: str) -> Callable[[DataFrame, str, str], DataFrame]:
+    """A filter of ids[column], of a fixed size: (df, col, name) gives df with a boolean column ``name``, true where
+    df[col] is in ids and for few other values as long as there are fewer ids than ``FILTER_BITS``. The filter is
+    broadcast as at most FILTER_BITS / 32768 rows of 4 KiB and tested natively; joins behind it stay exact."""
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS)) + 1
     places = ids.select(slot(column).alias("s"))
-    found = places.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    data = np.zeros(FILTER_BITS // 8, np.uint8)
-    for b, bits in found.toLocalIterator():  # at most FILTER_BITS / 32768 rows of 4 KiB
-        data[(b - 1) * 4096 : b * 4096] = np.frombuffer(bits, np.uint8)
-    shared = ids.sparkSession.sparkContext.broadcast(data)
-
-    @F.pandas_udf("boolean")
-    def test(s: pd.Series) -> pd.Series:
-        at = s.to_numpy() - 1
-        return pd.Series((shared.value[at >> 3] >> (at & 7)) & 1 == 1)
-
-    return lambda c: test(slot(c))
+    bits = stage(places.groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits")), "filter")
+
+    def mark(df: DataFrame, col: str, name: str) -> DataFrame:
+        at = F.bitmap_bit_position(slot(col))
+        byte = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0, F.lit(False))
+        joined = df.join(F.broadcast(bits), F.bitmap_bucket_number(slot(col)) == F.col("_bucket"), "left")
+        return joined.select(*[df[c] for c in df.columns], F.when(df[col].isNull(), F.lit(False)).otherwise(hit).alias(name))
+
+    return mark
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs, all columns, without the rows whose id is in ids.doc_id. Only rows that may be affected are joined, so the
+    other texts are not shuffled. Rows without an id stay."""
+    marked = maybe_in(ids, "doc_id")(docs, id_col, "_some")
+    gone = ids.select(F.col("doc_id").cast("long").alias("_gone")).distinct()
+    some = marked.where("_some").join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return some.unionByName(marked.where("not _some")).select(*[F.col(c) for c in docs.columns])

@@ -164,7 +164,7 @@ def segments(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*final), kinds)], names)
 
     by_doc = found.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    some = rows.where(maybe_in(found, "doc_id")("doc_id"))
+    some = maybe_in(found, "doc_id")(rows, "doc_id", "hit").where("hit").drop("hit")
     return some.join(by_doc, "doc_id").select("doc_id", "tag", "text", "at").mapInArrow(run, ", ".join(SEGMENT))
 
 
@@ -273,7 +273,7 @@ def remove(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w.count.astype(np.int64)), pa.array(w.per_doc(gone)), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     by_doc = found.select("doc_id", "tag", F.array("at").alias("at"))
-    some = rows.withColumn("hit", maybe_in(found, "doc_id")("doc_id"))  # the other texts stay where they are
+    some = maybe_in(found, "doc_id")(rows, "doc_id", "hit")  # the other texts stay where they are
     joined = some.where("hit").join(by_doc, ["doc_id", "tag"], "left").select("doc_id", "text", "at")
     return joined.unionByName(some.where("not hit").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("at"))).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 

@@ -15,15 +15,15 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from .hashing import U, Words, _table, mix, sums
+from .hashing import KEPT, U, Words, _table, mix, sums
 
 #: White space other than space and newline that some pattern could treat as such, and bytes with which it begins.
 ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF))) + "]")
 SUSPECT = _table(bytes([9, *range(11, 14), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]))
 #: What stands before a word.
 LEADS = (b"", b" ", b"\n", b"\n\n")
-#: Words in a worker's cache; beyond it the cache starts anew. Words encoded at a time.
-CACHED, CHUNK = 1_000_000, 2000
+#: Words in a worker's cache, in two generations, of which the older goes. Words encoded at a time.
+CACHED, CHUNK = 500_000, 2000
 
 
 class Encoder:
@@ -40,6 +40,7 @@ class Encoder:
         self.fast = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not plain and self.newline.sum() == 1
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.cache: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -94,11 +95,17 @@ class Encoder:
         used = np.flatnonzero(good[w.doc])
         key = mix(w.hashes()[used] + lead[used].astype(U) * U(0x632BE59BD9B4E019))
         distinct, inverse = np.unique(key, return_inverse=True)
-        if len(self.cache) > CACHED:
-            self.cache = {}
+        if len(self.cache) > CACHED // 2:
+            self.cache, self.older = {}, self.cache
         names = distinct.tolist()
         found = list(map(self.cache.get, names))
-        new = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = self.older.get(names[i])
+            if found[i] is None:
+                new.append(i)
+            else:  # words in use move on to the younger generation
+                self.cache[names[i]] = found[i]
         if new:
             one = np.empty(len(distinct), np.int64)
             one[inverse] = used
@@ -118,6 +125,7 @@ class Encoder:
 
 
 _encoders: dict[int, Encoder] = {}
+KEPT["tokens"] = _encoders.clear
 
 
 def encoder(definition: str) -> Encoder:

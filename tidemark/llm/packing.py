@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .hashing import slices
 from .shared import stage
-from .tokens import definition, encoder
+from .tokens import CACHED, definition, encoder
 
 #: Pieces in a block; islands, groupings on an island, generations, generations between migrations.
 BLOCK, ISLANDS, GROUPINGS, GENERATIONS, MIGRATE = 2000, 2, 4, 12, 4
@@ -131,15 +131,15 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, head)] * bool(head) + [(at, most) for at in range(head, n, most)]
 
 
-def pieces(docs: DataFrame, tokenizer: str, most: int, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, most: int, end_id: int | None, id_col: str, text_col: str, cached: int) -> DataFrame:
     spec = docs.sparkSession.sparkContext.broadcast(definition(tokenizer))
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        for b in slices(batches, most=1 << 20, keep="tokens"):
+        for b in slices(batches, most=(1 if cached < CACHED else 4) << 20, keep="tokens"):
             rows = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"), cached)):
                 ids += tail
                 rows += [(doc_id, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])) for k, (at, n) in enumerate(cut(len(ids) // 4, most))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -169,9 +169,9 @@ def _packer(most: int, turn: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row for each piece, with its sequence and its place there."""
-    left = stage(pieces(docs, tokenizer, most, end_id, id_col, text_col).withColumns({"round": F.lit(0), "block": F.lit(0), "bin": F.lit(0), "fill": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}), "pieces")
+def pack(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, cached: int = CACHED) -> DataFrame:
+    """One row for each piece, with its sequence and its place there. cached: words that a worker's tokenizer cache holds."""
+    left = stage(pieces(docs, tokenizer, most, end_id, id_col, text_col, cached).withColumns({"round": F.lit(0), "block": F.lit(0), "bin": F.lit(0), "fill": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}), "pieces")
     done, count, turn = [], left.count(), 0
     while True:
         n_blocks = -(-count // block)

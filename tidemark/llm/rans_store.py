@@ -165,7 +165,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
             row = (shard, frame, held[0][0], held[0][-1], len(held[0]), size, pack(*held))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "frame", "first", "last", "n_docs", "n_ids", "data"])
 
-        for b in slices(batches, most=1 << 20, keep="tokens"):
+        for b in slices(batches, most=4 << 20, keep="tokens"):
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                 held[0].append(doc_id)
                 held[1].append(ids + tail)

@@ -22,8 +22,8 @@ ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, 0x
 SUSPECT = _table(bytes([9, *range(11, 14), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]))
 #: What stands before a word.
 LEADS = (b"", b" ", b"\n", b"\n\n")
-#: Words in a worker's cache, in two generations, of which the older goes. Words encoded at a time.
-CACHED, CHUNK = 500_000, 2000
+#: Words in a worker's cache (about 200 bytes each); beyond it the cache starts anew. Words encoded at a time.
+CACHED, CHUNK = 1_000_000, 2000
 
 
 class Encoder:
@@ -40,7 +40,6 @@ class Encoder:
         self.fast = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not plain and self.newline.sum() == 1
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.cache: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -86,7 +85,7 @@ class Encoder:
             good[i] = not ODD.search(texts[i].as_py())
         return good, lead
 
-    def encode(self, texts: pa.Array) -> list[bytes]:
+    def encode(self, texts: pa.Array, cached: int = CACHED) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. A null text is empty."""
         if not self.fast:
             return [self.plain(t) if t else b"" for t in texts.to_pylist()]
@@ -95,17 +94,11 @@ class Encoder:
         used = np.flatnonzero(good[w.doc])
         key = mix(w.hashes()[used] + lead[used].astype(U) * U(0x632BE59BD9B4E019))
         distinct, inverse = np.unique(key, return_inverse=True)
-        if len(self.cache) > CACHED // 2:
-            self.cache, self.older = {}, self.cache
+        if len(self.cache) > cached:
+            self.cache = {}
         names = distinct.tolist()
         found = list(map(self.cache.get, names))
-        new = []
-        for i in [i for i, x in enumerate(found) if x is None]:
-            found[i] = self.older.get(names[i])
-            if found[i] is None:
-                new.append(i)
-            else:  # words in use move on to the younger generation
-                self.cache[names[i]] = found[i]
+        new = [i for i, x in enumerate(found) if x is None]
         if new:
             one = np.empty(len(distinct), np.int64)
             one[inverse] = used

@@ -82,6 +82,32 @@ def test_tree_groups_may_be_tiny(spark, corpus):
     assert a.select("prefix").distinct().count() >= b.select("prefix").distinct().count()
 
 
+def test_heavy_prefixes_lose_no_repeat(spark):
+    """Passages of 13 words with different followers: groups by words past a passage would tell its copies apart."""
+    rng, n = random.Random(11), 13
+    passages = [[f"s{i}w{j}" for j in range(n)] for i in range(12)]
+    texts = []
+    for i in range(60):
+        own = [f"d{i}x{j}" for j in range(40)]
+        for p in rng.sample(passages, 4):
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = p
+        texts.append(" ".join(own + rng.choice(passages)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        windows = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+        want[i] = sorted(k for k, x in enumerate(windows) if first.get(x, i) < i)
+        for x in windows:
+            first.setdefault(x, i)
+    rows = docs.withColumn("tag", F.xxhash64("text"))
+    some = suffix_dedup.stage(suffix_dedup.segments(rows, suffix_dedup.stage(suffix_dedup.shared_anchors(rows, n), "anchors"), n), "segments")
+    for group in (2, 10**6):
+        got = {r["doc_id"]: sorted(np.frombuffer(r["at"], np.int32).tolist()) for r in suffix_dedup.repeats(some, n, group).collect()}
+        assert got == {i: x for i, x in want.items() if x}
+
+
 def components_of(sets, percent):
     ids = sorted(sets)
     root = {i: i for i in ids}

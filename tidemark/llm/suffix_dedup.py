@@ -7,8 +7,9 @@ suffix counts by its first ``n`` words. The work has three steps.
    anchors, and about one position in five is one. Anchors that only one document has cannot belong to a repeat. They
    are matched in packed buckets; a task passes on one document for each anchor, however many copies it holds.
 2. Trees. Only suffixes round shared anchors are built. Segments of text round an anchor are dealt into groups by a
-   prefix of the anchor's suffix, of as many words as it takes (1, 2, 4, ... ) for the group to fit in memory. In a group
-   the suffixes are sorted and their common prefixes compared, word by word, which gives the tree's internal nodes; those
+   prefix of the anchor's suffix, of as many words as it takes (1, 2, 4, 5) for the group to fit in memory; never of more
+   than the anchor's words, since those that follow may lie past the passage. Of a prefix still too heavy then, each
+   window counts by itself, by all its words. In a group the suffixes are sorted and their common prefixes compared, word by word, which gives the tree's internal nodes; those
    at least n words deep are the repeats, and every node knows its least document id. Equal segments of one task count
    once, with their least id, so a passage in a third of all rows does not gather in one group.
 3. Removal. Positions whose node has a smaller id go back to their documents.
@@ -31,7 +32,8 @@ from .hashing import U, Words, mix, runs, slices
 from .shared import maybe_in, parts, reclaim, stage
 
 #: Words of the anchors' hashes. Suffixes in a group, beyond which its prefix grows, and the lengths that prefixes grow through.
-ANCHOR, GROUP, PREFIXES = 5, 200_000, (1, 2, 4, 8)
+ANCHOR, GROUP = 5, 200_000
+PREFIXES = (1, 2, 4, ANCHOR)
 #: Heavy prefixes of a level that are broadcast; more are joined.
 LISTED = 100_000
 
@@ -169,17 +171,46 @@ def segments(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
 
 
 def grouped(some: DataFrame, group: int = GROUP) -> DataFrame:
-    """Segments with a group each: by the shortest prefix that at most ``group`` segments share, or the longest there is."""
+    """Segments with a group each: by the shortest prefix that at most ``group`` segments share, or the longest there is.
+    ``heavy``: more than ``group`` segments share that one too."""
     last, within, marked = len(PREFIXES) - 1, some, some
     # a level has at most (segments / group) heavy prefixes
     small = F.broadcast if some.count() // group <= LISTED else lambda df: df
-    for k in range(last):
+    for k in range(last + 1):
         many = stage(within.groupBy(f"p{k}").agg(F.count("*").alias("c")).where(F.col("c") > group).select(f"p{k}", F.lit(True).alias(f"h{k}")), "heavy")
         marked, within = marked.join(small(many), f"p{k}", "left"), within.join(small(many), f"p{k}", "left_semi")
     key = F.col(f"p{last}")
     for k in range(last - 1, -1, -1):
         key = F.when(F.col(f"h{k}").isNull(), F.col(f"p{k}")).otherwise(key)
-    return marked.select("doc_id", "tag", "begin", "windows", "words", key.alias("prefix"))
+    # a prefix is heavy only if those shorter are
+    return marked.select("doc_id", "tag", "begin", "windows", "words", key.alias("prefix"), F.col(f"h{last}").isNotNull().alias("heavy"))
+
+
+def heavy_repeats(heavy: DataFrame, n: int) -> DataFrame:
+    """(doc_id, tag, begin, windows): windows, one a row, that a smaller id has too. Windows meet by all their n words, and
+    the least id of each is a partial aggregate, so neither a heavy prefix nor a heavy window gathers in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            least: dict[bytes, int] = {}
+            doc, tag, begin, windows = (x.tolist() for x in _arrays(b, "doc_id", "tag", "begin", "windows"))
+            for d, t, base, c, text in zip(doc, tag, begin, windows, b.column("words").to_pylist()):
+                own = text.split()
+                for i in range(c):
+                    window = b" ".join(own[i : i + n])
+                    if least.get(window, d) >= d:
+                        least[window] = d
+                    out.append((d, t, base + i, window))
+            if out:  # what a smaller id of the batch has is a repeat already
+                final = [(d, t, i, None if d > least[window] else window) for d, t, i, window in out]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*final), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "tag", "begin", "window"])
+
+    single = stage(heavy.select("doc_id", "tag", "begin", "windows", "words").mapInArrow(run, "doc_id long, tag long, begin int, window binary"), "windows")
+    met = single.where("window is not null")
+    least = met.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "least")
+    again = met.join(least, "window").where("doc_id > least").select("doc_id", "tag", "begin")
+    return again.unionByName(single.where("window is null").select("doc_id", "tag", "begin")).withColumn("windows", F.lit(1))
 
 
 def tree(words: list[bytes], windows: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +239,7 @@ def tree(words: list[bytes], windows: np.ndarray, ids: np.ndarray, n: int) -> tu
     return out, owner
 
 
-def repeats(some: DataFrame, n: int) -> DataFrame:
+def repeats(some: DataFrame, n: int, group: int = GROUP) -> DataFrame:
     """(doc_id, tag, at): first words (packed) of the windows that a smaller id has too, a row for each document."""
     groups = parts(some) * 2
 
@@ -247,9 +278,14 @@ def repeats(some: DataFrame, n: int) -> DataFrame:
         return pa.table({"doc_id": doc[first], "tag": tag[first], "at": pa.array([pos[a:e].tobytes() for a, e in zip(first, np.append(first[1:], len(pos)))], pa.binary())})
 
     kind = "bucket int, docs binary, tags binary, pos binary"
-    dealt = grouped(some.where("not covered")).withColumn("group", F.pmod(F.xxhash64("prefix"), F.lit(groups)))
-    trees = dealt.groupBy("group").applyInArrow(grow, kind)
-    covered = some.where("covered").select("doc_id", "tag", "begin", "windows").mapInArrow(whole, kind)
+    dealt = grouped(some.where("not covered"), group)
+    heavy = dealt.where("heavy")
+    light = dealt.where("not heavy").drop("heavy").withColumn("group", F.pmod(F.xxhash64("prefix"), F.lit(groups)))
+    trees = light.groupBy("group").applyInArrow(grow, kind)
+    known = some.where("covered").select("doc_id", "tag", "begin", "windows")
+    if not heavy.isEmpty():
+        known = known.unionByName(heavy_repeats(heavy, n))
+    covered = known.mapInArrow(whole, kind)
     return trees.unionByName(covered).groupBy("bucket").applyInArrow(by_document, "doc_id long, tag long, at binary")
 
 

@@ -387,6 +387,55 @@ def test_kneser_ney_equals_a_plain_model(spark, corpus, nothing):
     assert quality_lm.classify(docs, labels.limit(0)).where("kept").count() == 61
 
 
+def plain_kneser_ney(texts):
+    """log_perplexity(text) of a model written with dictionaries."""
+    n = [None] * 6
+    n[5] = Counter(b[k - 4 : k + 1] for b in (bytes(4) + t.encode() for t in texts) for k in range(4, len(b)))
+    for k in (4, 3, 2, 1):
+        n[k] = Counter(g[1:] for g in n[k + 1])
+    disc, ctx = {}, {}
+    for k in range(1, 6):
+        c = Counter(n[k].values())
+        y = c[1] / max(c[1] + 2 * c[2], 1)
+        disc[k] = [max(0.05, min(i - 0.05, i - (i + 1) * y * c[i + 1] / max(c[i], 1))) for i in (1, 2, 3)]
+        ctx[k] = defaultdict(lambda: [0, 0, 0, 0])
+        for g, v in n[k].items():
+            ctx[k][g[:-1]][0] += v
+            ctx[k][g[:-1]][min(v, 3)] += 1
+
+    def log_perplexity(t):
+        b, total = bytes(4) + t.encode(), 0.0
+        for i in range(4, len(b)):
+            p = 1 / 256
+            for k in range(1, 6):
+                g = b[i - k + 1 : i + 1]
+                c = ctx[k].get(g[:-1])
+                if c:
+                    p = (n[k][g] - disc[k][min(n[k][g], 3) - 1] if g in n[k] else 0) / c[0] + sum(d * m for d, m in zip(disc[k], c[1:])) / c[0] * p
+            total -= np.log(p)
+        return total / (len(b) - 4)
+
+    return log_perplexity
+
+
+@pytest.mark.parametrize("table", [3 << 20, 300_000])
+def test_many_ngrams_do_not_collide(spark, monkeypatch, table):
+    """More distinct n-grams than the slots of a fixed table; and the same in several parts, with equal rows."""
+    monkeypatch.setattr(quality_lm, "TABLE", table)
+    rng = random.Random(3)
+    good = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz .") for _ in range(4000)) for _ in range(60)]
+    bad = "".join(rng.choice("ABCDEFGH abcdefgh") for _ in range(500))
+    rows = [(i, t, "en") for i, t in enumerate(good)] + [(100, bad, "en"), (100, bad, "en"), (101, bad, "fr"), (102, "", "en"), (103, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality_lm.classify(docs, spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()
+    plain = plain_kneser_ney(good)
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _, _ in rows)
+    for r in got:
+        if r.doc_id in (0, 59, 100, 101):
+            assert abs(r.log_perplexity - plain(good[r.doc_id] if r.doc_id < 60 else bad)) < 1e-4, r.doc_id
+        assert r.kept == (r.doc_id < 60) and (r.log_perplexity is None) == (r.doc_id > 101)
+
+
 def test_toxicity_learns_pairs_and_holds_a_fold_out(spark, nothing):
     rng = random.Random(9)
     rows, labels = [], []

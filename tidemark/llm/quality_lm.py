@@ -2,9 +2,11 @@
 
 N-grams of all trusted texts are counted by language, exactly and without a sample; lower orders count continuations.
 From the counts come, natively, a discounted probability for each n-gram and a back-off weight for each context. These
-are cut into shards, one for each language, order and kind, of ``2**BITS`` hashed slots each, whatever the amount of
-text; at most ``LANGUAGES`` languages have shards of their own. So the shards have a proven size (10 MiB a language),
-and documents meet them by broadcast: each byte of a document looks up its n-grams in its language's shards.
+tables are exact and grow with the distinct n-grams. What a byte looks up is settled by the two bytes before it, but for
+n-grams of at most two bytes; so a language's tables are cut by these two bytes into parts of about ``TABLE`` entries, each
+with all the short n-grams. Documents meet the parts by broadcast, as many at once as ``TABLE`` entries allow, and a
+document's negative log-probability is the sum of what its bytes have in each part of its language. At most ``LANGUAGES``
+languages have tables of their own.
 
 The mean negative log-probability a byte (the log of the perplexity) is held against a quantile of the trusted texts'
 values in the same language, plus a margin; documents above it are rejected.
@@ -19,16 +21,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import U, buffer_of, mix, slices
+from .hashing import U, buffer_of, slices
 from .shared import maybe_in, stage
 
-ORDER, BITS = 5, 18
+ORDER = 5
+#: Entries of the tables that are broadcast at once, of 12 bytes each.
+TABLE = 3 << 20
 #: Short texts vary more: their threshold is higher by SHORT over the square root of their bytes.
 QUANTILE, MARGIN, SHORT = 0.99, 0.25, 2.5
 LEAST_TRUSTED, LANGUAGES = 50, 16
@@ -50,8 +55,15 @@ def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, doc, offsets
 
 
-def slots(code: np.ndarray, order: int) -> np.ndarray:
-    return (mix((code & U((1 << (8 * order)) - 1)) + U((order + 1) << 56)) >> U(64 - BITS)).astype(np.int64)
+def part_of(code: np.ndarray, pieces: int) -> np.ndarray:
+    """The part of its language's tables in which each n-gram's byte finds all it looks up: by the two bytes before it."""
+    pair = (code >> U(8)) & U(0xFFFF)
+    return ((((pair * U(40503)) & U(0xFFFF)) * U(pieces)) >> U(16)).astype(np.int64)
+
+
+def part_column(pair: Column) -> Column:
+    """As ``part_of``, of the two bytes, among ``pieces``."""
+    return F.shiftright((pair * 40503).bitwiseAND(F.lit(0xFFFF)) * F.col("pieces"), 16).cast("int")
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -79,8 +91,9 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def shards(exact: DataFrame) -> DataFrame:
-    """(lang, ord, kind, data): float32 tables by slot: ``p`` discounted probabilities of n-grams, ``b`` weights of contexts."""
+def shards(exact: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, part, ord, kind, codes, data): codes in order and their float32 values: ``p`` discounted probabilities of
+    n-grams, ``b`` weights of contexts. And (lang, entries, pieces): how many parts each language has."""
     level = exact.select("lang", "code", "n")
     every = level.withColumn("ord", F.lit(ORDER))
     for k in range(ORDER - 1, 0, -1):  # n-grams without their earliest byte: how many distinct bytes stand before them
@@ -97,59 +110,113 @@ def shards(exact: DataFrame) -> DataFrame:
     p = every.withColumn("ctx", context).join(sums, ["lang", "ord", "ctx"]).select("lang", "ord", F.lit("p").alias("kind"), "code", ((F.col("n") - d) / F.col("total")).alias("v"))
     b = sums.select("lang", "ord", F.lit("b").alias("kind"), F.col("ctx").alias("code"), ((F.col("c1") * F.col("d1") + F.col("c2") * F.col("d2") + F.col("c3") * F.col("d3")) / F.col("total")).alias("v"))
 
-    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            code, order = np.asarray(x.column("code")).view(U), np.asarray(x.column("ord"))
-            length = order - (np.asarray(x.column("kind").to_pylist(), object) == "b").astype(order.dtype)
-            slot = np.zeros(len(code), np.int64)
-            for k in range(ORDER + 1):
-                slot[length == k] = slots(code[length == k], k)
-            yield pa.RecordBatch.from_arrays([x.column("lang"), x.column("ord"), x.column("kind"), pa.array(slot), x.column("v")], ["lang", "ord", "kind", "slot", "v"])
+    entries = stage(p.unionByName(b), "entries")
+    sizes = entries.groupBy("lang").agg(F.count("*").alias("entries")).select("lang", "entries", F.ceil(F.col("entries") / TABLE).cast("long").alias("pieces"))
+    sizes = stage(sizes, "sizes")
+    long = F.col("ord") >= 3  # n-grams of three bytes, contexts of two
+    pair = F.when(F.col("kind") == "p", F.shiftrightunsigned("code", 8)).otherwise(F.col("code")).bitwiseAND(F.lit(0xFFFF))
+    part = F.explode(F.when(long, F.array(part_column(pair))).otherwise(F.sequence(F.lit(0), (F.col("pieces") - 1).cast("int")))).alias("part")
+    placed = entries.join(F.broadcast(sizes), "lang").select("lang", part, "ord", "kind", "code", "v")  # a row for each language
 
     def table(rows: pa.Table) -> pa.Table:
-        kind = rows["kind"][0].as_py()
-        out = np.full(1 << BITS, 1.0 if kind == "b" else 0.0, np.float32)
-        out[rows["slot"].to_numpy()] = rows["v"].to_numpy()
-        return pa.table({"lang": [rows["lang"][0].as_py()], "ord": pa.array([rows["ord"][0].as_py()], pa.int32()), "kind": [kind], "data": pa.array([out.tobytes()], pa.binary())})
-
-    placed = p.unionByName(b).mapInArrow(slotted, "lang string, ord int, kind string, slot long, v double").groupBy("lang", "ord", "kind", "slot").agg(F.max("v").alias("v"))
-    return placed.groupBy("lang", "ord", "kind").applyInArrow(table, "lang string, ord int, kind string, data binary")
-
-
-def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_id, lang, model, n_bytes, log_perplexity) of every whole text."""
-    got: dict[str, dict[tuple[int, str], np.ndarray]] = {}
-    for r in model.toLocalIterator():  # at most LANGUAGES + 1 languages of 10 MiB
-        got.setdefault(r["lang"], {})[r["ord"], r["kind"]] = np.frombuffer(r["data"], np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast(got)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-        for x in slices(batches, most=1 << 18):
-            own = [t if t in tables else POOLED for t in x.column("lang").to_pylist()]
-            code, doc, offsets = codes(x.column("text"))
-            prob = np.full(len(code), 1 / 256)
-            at = [slots(code, k) for k in range(ORDER + 1)]
-            before = np.concatenate([np.zeros(1, U), code[:-1]]) if len(code) else code
-            before[offsets[:-1][np.diff(offsets) > 0]] = 0
-            ctx = [slots(before, k) for k in range(ORDER)]
-            for name in set(own):
-                if name not in tables:
-                    continue
-                rows = np.array([o == name for o in own])[doc]
-                part = prob[rows]
-                for k in range(1, ORDER + 1):
-                    part = tables[name][k, "p"][at[k][rows]] + tables[name][k, "b"][ctx[k - 1][rows]] * part
-                prob[rows] = part
-            total = np.zeros(len(code) + 1)
-            np.cumsum(-np.log(np.clip(prob, 1e-12, 1.0)), out=total[1:])
-            n = np.diff(offsets)
-            value = np.divide(np.diff(total[offsets]), n, out=np.zeros(len(n)), where=n > 0)
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("lang"), pa.array(own, pa.string()), pa.array(n), pa.array(value, mask=n == 0)], ["doc_id", "lang", "model", "n_bytes", "log_perplexity"])
-
-    out = stage(docs.mapInArrow(run, "doc_id long, lang string, model string, n_bytes long, log_perplexity double"), "perplexity")
-    shared.destroy()
-    return out
+        code, v = rows["code"].to_numpy().view(U), rows["v"].to_numpy().astype(np.float32)
+        order = np.argsort(code)
+        one = [rows[c].slice(0, 1).combine_chunks() for c in ("lang", "part", "ord", "kind")]
+        return pa.table([*one, pa.array([code[order].tobytes()], pa.binary()), pa.array([v[order].tobytes()], pa.binary())], ["lang", "part", "ord", "kind", "codes", "data"])
+
+    return placed.groupBy("lang", "part", "ord", "kind").applyInArrow(table, "lang string, part int, ord int, kind string, codes binary, data binary"), sizes
+
+
+def passes(sizes: DataFrame) -> tuple[dict[str, int], list[list[tuple[str, int]]]]:
+    """Parts of each language, and the (language, part) that are broadcast together: of about TABLE entries."""
+    pieces, out, room = {}, [], 0
+    for r in sizes.orderBy("lang").toLocalIterator():  # a row for each language
+        pieces[r["lang"]] = r["pieces"]
+        for k in range(r["pieces"]):
+            need = r["entries"] // r["pieces"]
+            if need > room:
+                out.append([])
+                room = TABLE
+            out[-1].append((r["lang"], k))
+            room -= need
+    return pieces, out
+
+
+def found(table: tuple[np.ndarray, np.ndarray] | None, code: np.ndarray, other: float) -> np.ndarray:
+    """Values of the codes, and ``other`` for those that the table lacks."""
+    if table is None or not len(table[0]):
+        return np.full(len(code), other)
+    at = np.minimum(np.searchsorted(table[0], code), len(table[0]) - 1)
+    return np.where(table[0][at] == code, table[1][at], other).astype(np.float64)
+
+
+def surprise(tables: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]], code: np.ndarray) -> np.ndarray:
+    """Negative log-probability of the last byte of each n-gram."""
+    distinct, back = np.unique(code, return_inverse=True)
+    prob = np.full(len(distinct), 1 / 256)
+    for k in range(1, ORDER + 1):
+        own = found(tables.get((k, "p")), distinct & U((1 << (8 * k)) - 1), 0.0)
+        prob = own + found(tables.get((k, "b")), (distinct >> U(8)) & U((1 << (8 * (k - 1))) - 1), 1.0) * prob
+    return -np.log(np.clip(prob, 1e-12, 1.0))[back]
+
+
+def perplexities(docs: DataFrame, model: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, lang, model, n_bytes, log_perplexity) of every whole text. A text whose language's tables have several
+    parts is read for each of them."""
+    pieces, rounds = passes(sizes)
+    spark = docs.sparkSession
+    names = F.broadcast(sizes.select(F.col("lang").alias("_own")))  # a row for each language
+    rows = docs.join(names, F.col("lang") == F.col("_own"), "left").select("doc_id", "lang", "text", F.coalesce("_own", F.lit(POOLED)).alias("model"))
+    kind = "doc_id long, lang string, model string, tag long, n_bytes long, total double"
+
+    def scored(some: DataFrame, chosen: list[tuple[str, int]]) -> DataFrame:
+        got: dict[tuple[str, int], dict] = {pair: {} for pair in chosen}
+        wanted = F.concat_ws(":", F.col("part").cast("string"), "lang").isin([f"{k}:{lang}" for lang, k in chosen])
+        for r in model.where(wanted).toLocalIterator():  # about TABLE entries of 12 bytes
+            got[r["lang"], r["part"]][r["ord"], r["kind"]] = (np.frombuffer(r["codes"], U), np.frombuffer(r["data"], np.float32))
+        shared = spark.sparkContext.broadcast(got)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here = shared.value
+            held: dict[str, list[int]] = {}
+            for name, k in here:
+                held.setdefault(name, []).append(k)
+            for x in slices(batches, most=1 << 18):
+                own = x.column("model").to_pylist()
+                code, doc, offsets = codes(x.column("text"))
+                value = np.zeros(len(code))
+                for name in set(own):
+                    mine = np.array([o == name for o in own])[doc]
+                    for k in held.get(name, []):
+                        rows = np.flatnonzero(mine)
+                        if pieces.get(name, 1) > 1:
+                            rows = rows[part_of(code[rows], pieces[name]) == k]
+                        value[rows] = surprise(here[name, k], code[rows])
+                total = np.concatenate([np.zeros(1), np.cumsum(value)])
+                yield pa.RecordBatch.from_arrays([*[x.column(c) for c in ("doc_id", "lang", "model", "tag")], pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets]))], ["doc_id", "lang", "model", "tag", "n_bytes", "total"])
+
+        out = stage(some.mapInArrow(run, kind), "perplexity")
+        shared.destroy()
+        return out
+
+    several = [lang for lang, n in pieces.items() if n > 1]
+    whole, cut = [], []
+    if POOLED not in pieces:  # no trusted text: every byte is as likely
+        whole.append(scored(rows.withColumn("tag", F.lit(0).cast("long")), [(POOLED, 0)]))
+    for chosen in rounds:
+        single = [(n, k) for n, k in chosen if n not in several]
+        for some, out, tag in ((single, whole, F.lit(0).cast("long")), ([c for c in chosen if c not in single], cut, F.xxhash64("text"))):
+            if some:
+                out.append(scored(rows.where(F.col("model").isin(sorted({n for n, _ in some}))).withColumn("tag", tag), some))
+    result = reduce(DataFrame.unionByName, whole).select(*[c.split()[0] for c in kind.split(", ") if not c.startswith("tag")]) if whole else None
+    if cut:
+        # equal rows of a document have equal sums: they are told from parts by their number in each pass
+        each = reduce(DataFrame.unionByName, [df.withColumn("_pass", F.lit(i)) for i, df in enumerate(cut)])
+        one = each.groupBy("doc_id", "lang", "model", "tag", "n_bytes", "_pass").agg(F.max("total").alias("total"), F.count("*").alias("_same"))
+        all_ = one.groupBy("doc_id", "lang", "model", "tag", "n_bytes").agg(F.sum("total").alias("total"), F.max("_same").cast("int").alias("_same"))
+        again = all_.select("doc_id", "lang", "model", "n_bytes", "total", F.explode(F.sequence(F.lit(1), F.col("_same")))).drop("col")
+        result = again if result is None else result.unionByName(again)
+    return result.select("doc_id", "lang", "model", "n_bytes", F.when(F.col("n_bytes") > 0, F.col("total") / F.col("n_bytes")).alias("log_perplexity"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -162,7 +229,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sizes = trusted.groupBy("lang").agg(F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TRUSTED).orderBy(F.desc("texts"), "lang").limit(LANGUAGES)
     own = exact.join(F.broadcast(sizes.select("lang")), "lang", "left_semi")  # at most LANGUAGES rows
     pooled = exact.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "code", "n")
-    scored = perplexities(rows, stage(shards(own.unionByName(pooled)), "shards"))
+    model, parts_of = shards(own.unionByName(pooled))
+    scored = perplexities(rows, stage(model, "shards"), parts_of)
     marks = scored.join(ids, "doc_id", "left_semi").where("log_perplexity is not null")
     limit = F.percentile_approx("log_perplexity", F.lit(quantile), F.lit(10000)) + margin
     limits = marks.groupBy("model").agg(limit.alias("own")).where(F.col("model") != POOLED)

@@ -436,6 +436,19 @@ def test_many_ngrams_do_not_collide(spark, monkeypatch, table):
         assert r.kept == (r.doc_id < 60) and (r.log_perplexity is None) == (r.doc_id > 101)
 
 
+def test_every_language_keeps_its_model(spark):
+    """Eighteen languages of as many trusted texts: each text is scored by its own language's model."""
+    rng = random.Random(6)
+    good = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[k : k + 6] + " ") for _ in range(60)) for _ in range(50)] for k in range(18)}
+    rows = [(100 * k + i, t, lang) for k, lang in enumerate(good) for i, t in enumerate(good[lang])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_lm.classify(docs, docs.select("doc_id", F.lit(1).alias("quality"))).collect()}
+    assert len(got) == len(rows)
+    for k, lang in enumerate(good):
+        assert abs(got[100 * k].log_perplexity - plain_kneser_ney(good[lang])(good[lang][0])) < 1e-4, lang
+    assert len({round(r.threshold, 9) for r in got.values()}) == 18
+
+
 def test_toxicity_learns_pairs_and_holds_a_fold_out(spark, nothing):
     rng = random.Random(9)
     rows, labels = [], []

@@ -5,8 +5,8 @@ From the counts come, natively, a discounted probability for each n-gram and a b
 tables are exact and grow with the distinct n-grams. What a byte looks up is settled by the two bytes before it, but for
 n-grams of at most two bytes; so a language's tables are cut by these two bytes into parts of about ``TABLE`` entries, each
 with all the short n-grams. Documents meet the parts by broadcast, as many at once as ``TABLE`` entries allow, and a
-document's negative log-probability is the sum of what its bytes have in each part of its language. At most ``LANGUAGES``
-languages have tables of their own.
+document's negative log-probability is the sum of what its bytes have in each part of its language. Every language with
+enough trusted texts has tables of its own; small ones are broadcast together.
 
 The mean negative log-probability a byte (the log of the perplexity) is held against a quantile of the trusted texts'
 values in the same language, plus a margin; documents above it are rejected.
@@ -36,7 +36,7 @@ ORDER = 5
 TABLE = 3 << 20
 #: Short texts vary more: their threshold is higher by SHORT over the square root of their bytes.
 QUANTILE, MARGIN, SHORT = 0.99, 0.25, 2.5
-LEAST_TRUSTED, LANGUAGES = 50, 16
+LEAST_TRUSTED = 50
 POOLED = "*"
 #: Distinct n-grams that a task sums before it passes them on.
 HELD = 1 << 20
@@ -226,8 +226,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ids = stage(ids, "trusted")
     trusted = maybe_in(ids, "doc_id")(rows, "doc_id", "_near").where("_near").drop("_near").join(ids, "doc_id", "left_semi")
     exact = stage(counts(trusted), "counts")
-    sizes = trusted.groupBy("lang").agg(F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TRUSTED).orderBy(F.desc("texts"), "lang").limit(LANGUAGES)
-    own = exact.join(F.broadcast(sizes.select("lang")), "lang", "left_semi")  # at most LANGUAGES rows
+    sizes = trusted.groupBy("lang").agg(F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TRUSTED)
+    own = exact.join(F.broadcast(sizes.select("lang")), "lang", "left_semi")  # a row for each language
     pooled = exact.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "code", "n")
     model, parts_of = shards(own.unionByName(pooled))
     scored = perplexities(rows, stage(model, "shards"), parts_of)

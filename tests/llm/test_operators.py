@@ -175,6 +175,20 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_no_candidate_is_left_behind(spark):
+    """Forty alike members of a key in one task, of which the last alone is alike to a member in another task."""
+    rows = [(i, 1 << i) for i in range(41)] + [(100, (1 << 40) | (3 << 50))]
+    keyed = spark.createDataFrame(rows[:41], "id long, sketch long").coalesce(1).union(spark.createDataFrame(rows[41:], "id long, sketch long").coalesce(1))
+
+    def emit(b):
+        ids, sketch = (np.asarray(b.column(c)) for c in ("id", "sketch"))
+        return np.zeros(len(ids), np.uint64), ids, sketch.view(np.uint64)[:, None]
+
+    edges = components.candidate_edges(keyed, emit, lambda a, b: np.bitwise_count(a ^ b).sum(-1) <= 2, lambda batches: batches)
+    got = components.components(edges).collect()
+    assert len(got) == 42 and {r.component for r in got} == {0}
+
+
 def distance(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

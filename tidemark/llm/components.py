@@ -120,23 +120,24 @@ def exact_links(members: DataFrame, prepare: Callable[[pa.Table], object], linke
     return stage(first.unionByName(second), "links")
 
 
-def candidate_edges(keyed: DataFrame, emit: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]], alike: Callable[[np.ndarray, np.ndarray], np.ndarray], slicer: Callable, onward: int = 16) -> DataFrame:
+def candidate_edges(keyed: DataFrame, emit: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]], alike: Callable[[np.ndarray, np.ndarray], np.ndarray], slicer: Callable) -> DataFrame:
     """(src, dst): edges that connect members that share a key and are ``alike`` by their sketches.
 
-    emit(batch): (keys u64, ids i64, sketches u64[n, k]). Keys meet in packed buckets. A task links the members of a
-    key that it has itself, and passes on at most ``onward`` of each connected lot; the others stay connected with
-    those, so a key that very many members share costs each task a few rows."""
+    emit(batch): (keys u64, ids i64, sketches u64[n, k]). Keys meet in packed buckets. A task passes on
+    every member of a key, since any one may be the only one alike to a member that another task has; ``emit`` gives a
+    member once a key and batch."""
     buckets = parts(keyed) * 2
 
-    def link(key: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(src, dst, which rows go on)."""
+    def link(key: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((ids, key))
         key, ids, sketch = key[order], ids[order], sketch[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))[: len(key)]  # what several tasks have
+        key, ids, sketch = key[new], ids[new], sketch[new]
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(begin, len(key)))
         two = begin[size == 2]
-        hit = two[alike(sketch[two], sketch[two + 1]) & (ids[two] != ids[two + 1])]
-        src, dst, go = [ids[hit]], [ids[hit + 1]], np.ones(len(key), bool)
+        hit = two[alike(sketch[two], sketch[two + 1])]
+        src, dst = [ids[hit]], [ids[hit + 1]]
         more = size > 2
         for a, n in zip(begin[more].tolist(), size[more].tolist()):
             found = spanning(n, lambda x, rest: alike(sketch[a + x][None, :], sketch[a + rest]))
@@ -144,47 +145,28 @@ def candidate_edges(keyed: DataFrame, emit: Callable[[pa.RecordBatch], tuple[np.
                 pairs = np.array(found)
                 src.append(ids[a + pairs[:, 0]])
                 dst.append(ids[a + pairs[:, 1]])
-                if n > onward:
-                    lot = np.arange(n)
-                    for x, y in found:  # found in breadth-first order: x has its lot by then
-                        lot[y] = lot[x]
-                    rank = np.zeros(n, np.int64)
-                    o = np.argsort(lot, kind="stable")
-                    starts = np.flatnonzero(np.append(True, lot[o][1:] != lot[o][:-1]))
-                    rank[o] = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-                    go[a : a + n] = rank < onward
-        keep = np.zeros(len(order), bool)
-        keep[order] = go
-        return np.concatenate(src), np.concatenate(dst), keep
+        return np.concatenate(src), np.concatenate(dst)
 
     def send(batches):  # noqa: ANN001, ANN202
         for b in slicer(batches):
             key, ids, sketch = emit(b)
             if not len(key):
                 continue
-            src, dst, go = link(key, ids, sketch)
-            key, ids, sketch = key[go], ids[go], sketch[go]
             bucket = (key >> np.uint64(40)).astype(np.int64) % buckets
             o = np.lexsort((ids, bucket))
             edges = np.searchsorted(bucket[o], np.arange(buckets + 1))
             out = []
             for k in np.flatnonzero(np.diff(edges)).tolist():
                 i = o[edges[k] : edges[k + 1]]
-                out.append((k, key[i].tobytes(), np.diff(ids[i], prepend=0).tobytes(), sketch[i].tobytes(), None, None))
-            if len(src):
-                out.append((int(key[0] % np.uint64(buckets)) if len(key) else 0, None, None, None, src.tobytes(), dst.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 5))], ["bucket", "key", "ids", "sketch", "src", "dst"])
+                out.append((k, key[i].tobytes(), np.diff(ids[i], prepend=0).tobytes(), sketch[i].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 3))], ["bucket", "key", "ids", "sketch"])
 
     def meet(table: pa.Table) -> pa.Table:
-        read = lambda c, t: [np.frombuffer(x.as_buffer(), t) for x in table[c].drop_null()] or [np.zeros(0, t)]
+        read = lambda c, t: [np.frombuffer(x.as_buffer(), t) for x in table[c]]
         key, ids = np.concatenate(read("key", np.uint64)), np.concatenate([np.cumsum(x) for x in read("ids", np.int64)])
-        src, dst = np.concatenate(read("src", np.int64)), np.concatenate(read("dst", np.int64))
-        if len(key):
-            sketch = np.concatenate(read("sketch", np.uint64)).reshape(len(key), -1)
-            s, d, _ = link(key, ids, sketch)
-            src, dst = np.concatenate([src, s]), np.concatenate([dst, d])
+        src, dst = link(key, ids, np.concatenate(read("sketch", np.uint64)).reshape(len(key), -1))
         pairs = np.unique(np.stack([np.maximum(src, dst), np.minimum(src, dst)], 1), axis=0) if len(src) else np.zeros((0, 2), np.int64)
         return pa.table({"src": pairs[:, 0], "dst": pairs[:, 1]})
 
-    packed = keyed.mapInArrow(send, "bucket int, key binary, ids binary, sketch binary, src binary, dst binary")
+    packed = keyed.mapInArrow(send, "bucket int, key binary, ids binary, sketch binary")
     return packed.groupBy("bucket").applyInArrow(meet, "src long, dst long").distinct()

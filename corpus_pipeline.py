@@ -33,7 +33,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one; n_chars follows the text."""
     reclaim(spark)
-    out = without_lines(docs, repeated_lines(docs))
+    out = without_lines(docs, repeated_lines(docs, short=True))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -248,6 +248,13 @@ def test_line_dedup(spark, nothing):
     assert line_dedup.line_dedup(nothing).count() == 0
 
 
+def test_short_lines_are_deduped_when_equal(spark):
+    texts = ["Share\nnew é\n\n \t", "Share\nShare \n\n \t", "Shard\nnew é\nx", "x\n" + "long line of more than thirty points\nShare", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.kept_text for r in line_dedup.line_dedup(df, short=True).collect()}
+    assert got == {0: texts[0], 1: "Share \n\n \t", 2: "Shard\nx", 3: "long line of more than thirty points", 4: None}
+
+
 def test_quality_features_and_verdict(corpus, nothing):
     df, texts = corpus
     got = quality_rules.quality_rules(df).collect()

@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
 A line is a repeat if an earlier line (by document id, then place) is within ``edits`` edits of it, or connected with it
-by such lines. Lines of fewer than ``least`` code points are left alone. A line is cut into edits + 1 segments; two lines
+by such lines. Lines of fewer than ``least`` code points are only compared for equality, and only with ``short``; blank
+lines are left alone. A line is cut into edits + 1 segments; two lines
 within that distance agree in one of them, at nearly the same place. So every line probes, for each length it may meet,
 the substrings at which that length's segments can lie (the multi-match-aware windows). Keys are (length, segment,
 content); a line's own segments are among its probes. Members of a key are compared by the parity of their character
@@ -65,6 +66,13 @@ class Lines:
         total = np.concatenate([np.zeros(1, U), np.bitwise_xor.accumulate(pair)])
         return total[self.end] ^ total[np.minimum(self.begin + 1, self.end)]
 
+    def blank(self) -> np.ndarray:
+        """Whether each line has only ASCII white space."""
+        raw = self.w.raw
+        total = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum((raw != 32) & ((raw < 9) | (raw > 13)), out=total[1:])
+        return total[self.end] == total[self.begin]
+
     def take(self, keep: np.ndarray) -> None:
         for name in ("row", "number", "begin", "end", "length", "first", "id"):
             setattr(self, name, getattr(self, name)[keep])
@@ -134,10 +142,14 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(state[-1] >> (len(a) - len(b) + edits) & 1)
 
 
-def occurrences(rows: DataFrame, least: int) -> DataFrame:
+def occurrences(rows: DataFrame, least: int, short: bool) -> DataFrame:
+    """(doc_id, tag, number, line) of the lines of at least ``least`` code points; with ``short``, of all that are not blank."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            x = Lines(b.column("text"), least)
+            x = Lines(b.column("text"), 1 if short else least)
+            if short:
+                x.take(~x.blank() | (x.length >= least))
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column(c))[x.row]) for c in ("doc_id", "tag")] + [pa.array(x.number), pa.array(x.id)], ["doc_id", "tag", "number", "line"])
 
     return rows.mapInArrow(run, "doc_id long, tag long, number int, line long")
@@ -161,8 +173,9 @@ def line_texts(rows: DataFrame, least: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "line long, payload string")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, cap: int = 1000) -> DataFrame:
-    """(doc_id, tag, gone): numbers of the lines that repeat an earlier one; tag is a hash of the row's text."""
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST, cap: int = 1000, short: bool = False) -> DataFrame:
+    """(doc_id, tag, gone): numbers of the lines that repeat an earlier one; tag is a hash of the row's text.
+    ``short``: lines of fewer than ``least`` code points repeat those that equal them."""
     if least < edits + 1:
         raise ValueError("lines must be at least edits + 1 long")
     spark = docs.sparkSession
@@ -200,7 +213,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = exact_links(members, lambda table: table["payload"].to_pylist(), lambda what, x, rest: np.array([within(what[x], what[y], edits) for y in rest.tolist()], bool), cap)
     reclaim(spark)
     comp = components(links)
-    places = stage(occurrences(rows, least), "lines")
+    places = stage(occurrences(rows, least, short), "lines")
     keyed = places.join(comp, F.col("line") == F.col("node"), "left").select("doc_id", "tag", "number", F.coalesce("component", "line").alias("key"))
     keyed = stage(keyed, "places")
     first = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "tag", "number")).alias("f"), F.count("*").alias("c")).where("c > 1").select("key", "f")

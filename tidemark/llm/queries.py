@@ -49,7 +49,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup(_table(spark, sf_dir, "documents"))
+    found = line_dedup(_table(spark, sf_dir, "documents"), short=True)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 

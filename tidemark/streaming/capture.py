@@ -5,11 +5,13 @@ Delivery is at least once, the ledger makes it effectively once: events are dedu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import DEFAULTS, Defaults
 from ..functions.sites import site_matches, suffixes
@@ -40,42 +42,80 @@ def window_masses(stream: DataFrame, keys: list[str], time: str = "observed_at",
     return rows.groupBy(*keys, F.window(time, f"{d.window_seconds} seconds").alias("w")).agg(F.max("m").alias("mass"), F.count("*").alias("events")).select(*keys, F.col("w.start").alias("start"), "mass", "events")
 
 
-VISIT = "source string, identity string, first_seen timestamp, last_seen timestamp, secs double, partial boolean"
-VISIT_STATE = "identity string, first_seen timestamp, last_seen timestamp, secs double"
+VISIT = "source string, event_id string, visit_id string, identity string, first_seen timestamp, last_seen timestamp, secs double, partial boolean"
+VISIT_STATE = "identity string, first_seen timestamp, last_seen timestamp, secs double, part int"
 
 
-def visits(stream: DataFrame, source: str = "source", identity: str = "identity", time: str = "observed_at", most: float = 65.0, cap: float = 3600.0, idle_ms: int = 60_000, min_secs: float = DEFAULTS.min_visit_seconds) -> DataFrame:
-    """Visits by change of identity: a stateful fold for each source. A visit is emitted when the identity changes; a
-    timer emits a partial one when no tick came for ``idle_ms``, and its dwell starts again. Short ones are dropped."""
+def visits(stream: DataFrame, source: str = "source", identity: str = "identity", time: str = "observed_at", most: float = 65.0, cap: float = 3600.0, idle: str = "60 seconds", delay: str = "10 minutes", min_secs: float = DEFAULTS.min_visit_seconds) -> DataFrame:
+    """Visits by change of identity: a stateful fold for each source. A visit is emitted when the identity changes. When
+    the watermark has passed ``idle`` after its last tick a partial one is emitted under an event id of its own, and its
+    dwell starts again from nothing. Short ones are dropped. ``delay``: how late a tick may come.
+
+    Timers run on event time, so a bounded run (all that is available) ends, and a replay gives the same rows. Ids are
+    hashes of the source, the identity, the visit's begin and the part's number."""
+    names, wait = [c.split()[0] for c in VISIT.split(", ")], pd.Timedelta(idle)
+
+    def row(who: str, keep: tuple, partial: bool) -> tuple:
+        visit = hashlib.sha256(f"{who}\0{keep[0]}\0{pd.Timestamp(keep[1]).isoformat()}".encode()).hexdigest()
+        return who, f"{visit[:32]}-{keep[4]}", visit[:32], *keep[:4], partial
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         keep = state.get if state.exists else None
         if state.hasTimedOut:
-            if keep and keep[3] >= min_secs:
-                out.append((key[0], *keep, True))
-            state.remove()
-            if out:
-                yield pd.DataFrame(out, columns=["source", "identity", "first_seen", "last_seen", "secs", "partial"])
-            return
-        rows = pd.concat(list(batches)).sort_values([time, identity])
-        for who, at in zip(rows[identity], rows[time]):
-            if keep is not None:
-                gap = min(most, max(0.0, (at - keep[2]).total_seconds()))
-                total = min(cap, keep[3] + gap)
-                if keep[0] == who:
-                    keep = (who, keep[1], at, total)
-                    continue
-                if total >= min_secs:
-                    out.append((key[0], keep[0], keep[1], keep[2], total, False))
-            keep = (who, at, at, 0.0)
-        state.update(keep)
-        state.setTimeoutDuration(idle_ms)
+            if keep[3] >= min_secs:
+                out.append(row(key[0], keep, True))
+                state.update((*keep[:3], 0.0, keep[4] + 1))
+            else:
+                state.remove()
+        else:
+            ticks = sorted((at, who) for b in batches for at, who in zip(b[time], b[identity]))
+            for at, who in ticks:
+                if keep is not None:
+                    total = min(cap, keep[3] + min(most, max(0.0, (at - keep[2]).total_seconds())))
+                    if keep[0] == who:
+                        keep = (who, keep[1], max(at, keep[2]), total, keep[4])
+                        continue
+                    if total >= min_secs:
+                        out.append(row(key[0], (*keep[:3], total, keep[4]), False))
+                keep = (who, at, at, 0.0, 0)
+            state.update(keep)
+            state.setTimeoutTimestamp(max(int((keep[2] + wait).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame(out, columns=["source", "identity", "first_seen", "last_seen", "secs", "partial"])
+            yield pd.DataFrame(out, columns=names)
+
+    rows = stream.select(F.col(source).alias("source"), F.col(identity).alias(identity), F.col(time).alias(time)).withWatermark(time, delay)
+    return rows.groupBy("source").applyInPandasWithState(fold, VISIT, VISIT_STATE, "append", "EventTimeTimeout")
+
+
+#: Events that wait for delivery at a source, and their bytes; events and bytes of one delivery.
+OUTBOX, OUTBOX_BYTES, DELIVERY, DELIVERY_BYTES = 2000, 2 * 1024 * 1024, 32, 64_000
+
+
+def outbox(queue: DataFrame, event: Column | None = None) -> DataFrame:
+    """queue (source, event_id, observed_at, ...) without what a source's bounded outbox drops: the oldest, beyond
+    ``OUTBOX`` events or ``OUTBOX_BYTES`` bytes as JSON."""
+    bytes_ = F.octet_length(F.to_json(F.struct(*queue.columns)) if event is None else event) + 1
+    newest = Window.partitionBy("source").orderBy(F.desc("observed_at"), F.desc("event_id"))
+    marked = queue.withColumn("_bytes", bytes_).withColumns({"_n": F.row_number().over(newest), "_sum": F.sum("_bytes").over(newest.rowsBetween(Window.unboundedPreceding, 0)) + 1})
+    return marked.where((F.col("_n") <= OUTBOX) & (F.col("_sum") <= OUTBOX_BYTES)).select(*queue.columns)
+
+
+def deliveries(queue: DataFrame, event: Column | None = None) -> DataFrame:
+    """queue with ``delivery``: its events in order of time, as many to a delivery as its limits of events and bytes
+    allow. One fold for each source, over at most an outbox."""
+    text = F.to_json(F.struct(*queue.columns)) if event is None else event
+    order = F.array_sort(F.collect_list(F.struct("observed_at", "event_id", (F.octet_length(text) + 1).alias("bytes"))))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(1).alias("bytes"), F.array().cast("array<struct<event_id:string,delivery:int>>").alias("out"))
+
+    def step(s: Column, e: Column) -> Column:
+        fits = (s.n == 0) | ((s.n < DELIVERY) & (s.bytes + e.bytes <= DELIVERY_BYTES))
+        at = F.when(fits, s.at).otherwise(s.at + 1)
+        done = F.array_append(s.out, F.struct(e.event_id.alias("event_id"), at.alias("delivery")))
+        return F.struct(at.alias("at"), F.when(fits, s.n + 1).otherwise(1).alias("n"), F.when(fits, s.bytes + e.bytes).otherwise(1 + e.bytes).alias("bytes"), done.alias("out"))
 
-    rows = stream.select(F.col(source).alias("source"), F.col(identity).alias(identity), F.col(time).alias(time))
-    return rows.groupBy("source").applyInPandasWithState(fold, VISIT, VISIT_STATE, "append", "ProcessingTimeTimeout")
+    one = queue.groupBy("source").agg(F.aggregate(order, start, step, lambda s: s.out).alias("d")).select("source", F.explode("d").alias("d")).select("source", "d.*")
+    return queue.join(one, ["source", "event_id"])
 
 
 def micro_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str = "60 seconds", available_now: bool = False) -> object:

@@ -1,12 +1,13 @@
 """Secret scan with corpus-wide ownership frequency.
 
 One pass over the texts finds candidates: three fixed kinds, and long mixed tokens (``generic``). Hashes
-of the candidates are counted by distinct repositories and owners. A value that several owners hold is a
-widely copied example; a live-looking one belongs to few. Generic candidates become spans only if they
-are owner-specific; spans of the fixed kinds always stay.
+of the candidates are counted by distinct repositories and owners. A value that ``WIDE_OWNERS`` owners hold, or two
+owners in ``WIDE_REPOS`` repositories together, is a widely copied example. One that a single owner holds, in however
+many repositories, is owner-specific. Generic candidates become spans only if they are no examples; spans of the fixed
+kinds always stay.
 
 Defined results: a null text is empty and has no spans; a null repository or owner counts as one
-repository or owner of its own; repeated rows are reported one by one and do not raise distinct counts;
+repository or owner of its own, other than an empty one; a repository is told apart by its owner too; repeated rows are reported one by one and do not raise distinct counts;
 an empty table gives an empty result. Positions are code points, ends exclusive. Secrets themselves
 never leave the task that reads the text, only their hashes.
 """
@@ -37,8 +38,10 @@ GENERIC = re.compile(r"[A-Za-z0-9+/_-]{24,}")
 ANY = r"(?i)password|passwd|secret|token|api_?key|AKIA|[A-Za-z0-9+/_-]{24,}"
 #: Bits per character from which a value looks random.
 ENTROPY = 3.0
-#: A value held by so many distinct owners is a copied example.
-WIDE_OWNERS = 3
+#: A value held by so many distinct owners is a copied example; or by two in so many repositories.
+WIDE_OWNERS, WIDE_REPOS = 3, 5
+#: Parts into which the holders of one value are dealt where they meet its counts.
+SALTS = 16
 
 SPAN = "struct<kind:string,start:int,end:int,hash:string,random:boolean>"
 ROW = f"doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, cands array<{SPAN}>"
@@ -89,25 +92,28 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("repo"), b.column("owner"), *[pa.array(c, pa.int64()) for c in counts], pa.array(sha), pa.array(cands, pa.list_(kind))], ["doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "cands"])
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: object = "source", owner: object = "source", wide_owners: int = WIDE_OWNERS) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: object = "source", owner: object = "source", wide_owners: int = WIDE_OWNERS, wide_repos: int = WIDE_REPOS) -> DataFrame:
     """Spans of secrets in every document. ``repo`` and ``owner`` are columns (names or expressions).
 
-    ``n_live``: spans whose value looks random and fewer than ``wide_owners`` owners hold; ``n_example``: spans whose
-    value that many hold. ``live``: the live-looking spans, as in ``spans``.
+    ``n_live``: spans whose value looks random and is no copied example; ``n_example``: spans of copied examples.
+    ``live``: the live-looking spans, as in ``spans``. ``most_owners``, ``most_repos``: the widest spread of its values.
     """
     column = lambda c: F.col(c) if isinstance(c, str) else c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), column(repo).cast("string").alias("repo"), column(owner).cast("string").alias("owner")).where("doc_id is not null")
     # equal rows have equal candidates, so (id, key) names the rows that share a result
     found = stage(rows.mapInArrow(_scan, ROW).withColumn("key", F.when(F.size("cands") > 0, F.xxhash64("cands"))), "secrets")
     cand = found.where("key is not null").select("doc_id", "key", "repo", "owner", F.explode("cands").alias("c"))
-    held = cand.select("c.hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).distinct()
-    spread = held.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
-    judged = cand.select("doc_id", "key", "c.*").distinct().join(spread, "hash")
-    wide = F.col("owners") >= wide_owners
+    # distinct holders first, owner by owner: however many rows hold a value, it has a row for each owner here
+    held = cand.select("c.hash", F.struct("owner").alias("owner"), F.struct("repo").alias("repo")).distinct()
+    spread = held.groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    several = spread.where("repos > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mine = cand.select("doc_id", "key", "c.*").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+    judged = mine.join(several, ["hash", "salt"], "left").fillna(1, ["owners", "repos"])
+    wide = (F.col("owners") >= wide_owners) | ((F.col("owners") >= 2) & (F.col("repos") >= wide_repos))
     judged = judged.withColumns({"live": ~wide & F.col("random"), "example": wide}).where((F.col("kind") != "generic") | ~wide)
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     span = F.struct("start", order.alias("order"), F.format_string("%s:%d:%d", "kind", "start", "end").alias("told"), "live")
-    by_doc = judged.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(span)).alias("s"), F.count_if("live").alias("n_live"), F.count_if("example").alias("n_example"))
+    by_doc = judged.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(span)).alias("s"), F.count_if("live").alias("n_live"), F.count_if("example").alias("n_example"), F.max("owners").alias("most_owners"), F.max("repos").alias("most_repos"))
     joined = found.join(by_doc, ["doc_id", "key"], "left")
     text = lambda a: F.coalesce(F.array_join(F.transform(a, lambda x: x.told), ","), F.lit(""))
-    return joined.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text(F.col("s")).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"), text(F.filter("s", lambda x: x.live)).alias("live"))
+    return joined.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text(F.col("s")).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"), text(F.filter("s", lambda x: x.live)).alias("live"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("most_owners", "most_repos")])

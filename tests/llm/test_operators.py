@@ -292,7 +292,12 @@ def test_secrets(spark, nothing):
     by_id = {r.doc_id: r for r in secrets.secret_scan(df).collect()}
     assert by_id[9].spans.startswith("generic:") and by_id[6].spans == ""
     many = spark.createDataFrame([(i, f"token: {key}", f"s{i}") for i in range(5)], "doc_id long, text string, source string")
-    assert all(r.n_live == 0 and r.n_example == 2 for r in secrets.secret_scan(many).collect())
+    assert all((r.n_live, r.n_example, r.most_owners, r.most_repos) == (0, 2, 5, 5) for r in secrets.secret_scan(many).collect())
+    # one owner's value in six repositories is live; two owners' in five together is copied, in four it is not
+    for owners, live in ((["a"] * 6, True), (["a", "a", "a", "b", "b"], False), (["a", "a", "b", "b"], True), ([None, ""], True), ([None, "", "c"], False)):
+        spread = spark.createDataFrame([(i, f"token: {key}", o, f"r{i}") for i, o in enumerate(owners)] * 2, "doc_id long, text string, owner string, repo string")
+        got = secrets.secret_scan(spread, owner="owner", repo="repo").collect()
+        assert len(got) == 2 * len(owners) and all(r.n_live == 2 * live and r.n_example == 2 * (not live) and r.most_owners == len(set(owners)) and r.most_repos == len(owners) for r in got), owners
     assert secrets.secret_scan(nothing).count() == 0
 
 
@@ -362,6 +367,20 @@ def test_grouping_never_loses_a_piece():
         assert sorted(p for b in g.bins for p in b) == list(range(n)) and all(sum(sizes[p] for p in b) <= 1024 for b in g.bins)
 
 
+def test_grouping_evolves_beyond_best_fit():
+    """Sizes of which best-fit decreasing leaves much open: the generations do better, and better than the founders."""
+    rng = random.Random(6)
+    sizes = [rng.randrange(260, 521) for _ in range(600)]
+    plain = packing.Grouping(sizes, 1024)
+    plain.best_fit(sorted(range(600), key=lambda p: -sizes[p]))
+    first = min(len(g.bins) for g in packing.founders(sizes, 1024, random.Random(1)))
+    got = packing.evolve(sizes, 1024, 1)
+    assert len(got.bins) < len(plain.bins) <= first
+    child = packing.crossover(plain, got, rng)
+    assert sorted(p for b in child.bins for p in b) == list(range(600)) and child.room == [1024 - sum(sizes[p] for p in b) for b in child.bins]
+    assert len(plain.bins) == len(plain.room) and sorted(p for b in plain.bins for p in b) == list(range(600))  # parents stay
+
+
 def test_kneser_ney_equals_a_plain_model(spark, corpus, nothing):
     """Probabilities of the sharded tables equal those of a model written with dictionaries."""
     rng = random.Random(8)
@@ -490,9 +509,23 @@ def test_toxicity_learns_pairs_and_holds_a_fold_out(spark, nothing):
     changed = toxicity.train(docs, marks.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic"))))
     again = toxicity.train(docs, marks)
     assert np.allclose(changed["w"], again["w"]) and toxicity.toxicity(nothing, marks).count() == 0
+    long = spark.createDataFrame([(1, " ".join(f"w{i % 300}" for i in range(60_000)) + " insult groupname"), (1, ""), (1, "")], "doc_id long, text string")
+    assert len(toxicity.toxicity(docs.select("doc_id", "text").unionByName(long), marks).where("doc_id = 1").collect()) == 4
     assert toxicity.toxicity(docs, marks.limit(0)).agg(F.max("score")).first()[0] < 1e-9
 
 
+def test_toxicity_needs_its_pairs(spark):
+    """Toxic are a with b and c with d; clean a with d and c with b: no term tells anything alone. Without factors, chance."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.sample([*(f"w{rng.randrange(60)}" for _ in range(6)), *(("alpha", "beta"), ("gamma", "delta"), ("alpha", "delta"), ("gamma", "beta"))[i % 4]], 8)), int(i % 4 < 2)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    auc = {}
+    for factors in (8, 0):
+        got = {r.doc_id: r.score for r in toxicity.toxicity(docs.select("doc_id", "text"), docs, factors=factors).where("held_out").collect()}
+        auc[factors] = np.mean([got[i] > got[j] for i in got for j in got if i % 4 < 2 and j % 4 >= 2])
+    assert auc[8] > 0.95 and 0.35 < auc[0] < 0.65, auc
+
+
 def test_decontamination(spark, nothing):
     rng = random.Random(11)
     items = {i: " ".join(f"q{rng.randrange(3000)}" for _ in range(rng.randrange(15, 40))) for i in range(40)}

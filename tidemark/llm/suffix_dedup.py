@@ -7,12 +7,15 @@ suffix counts by its first ``n`` words. The work has three steps.
    anchors, and about one position in five is one. Anchors that only one document has cannot belong to a repeat. They
    are matched in packed buckets; a task passes on one document for each anchor, however many copies it holds.
 2. Trees. Only suffixes round shared anchors are built. Segments of text round an anchor are dealt into groups by a
-   prefix of the anchor's suffix, of as many words as it takes (1, 2, 4, 5) for the group to fit in memory; never of more
-   than the anchor's words, since those that follow may lie past the passage. Of a prefix still too heavy then, each
-   window counts by itself, by all its words. In a group the suffixes are sorted and their common prefixes compared, word by word, which gives the tree's internal nodes; those
-   at least n words deep are the repeats, and every node knows its least document id. Equal segments of one task count
-   once, with their least id, so a passage in a third of all rows does not gather in one group.
-3. Removal. Positions whose node has a smaller id go back to their documents.
+   prefix of the anchor's suffix, of as many words as it takes (1, 2, 4, 5) for at most ``GROUP`` segments to share it;
+   never of more than the anchor's words, since those that follow may lie past the passage. There are as many groups as
+   the segments' number asks for, of about ``SEGMENTS`` each, whatever the session's partitions. Of a prefix still too
+   heavy at five words, each window counts by itself, by all its words. In a group all suffixes of the segments, to the
+   segments' ends, are sorted word by word (by doubled prefixes), and the common prefixes of neighbours give the suffix
+   tree's internal nodes. A node at least n words deep is a repeat; every node knows its least document id, and the
+   deepest node above a suffix that has a smaller id tells how long the repeat is that starts there. Equal segments of
+   one task count once, with their least id, so a passage in a third of all rows does not gather in one group.
+3. Removal. The repeats, without those inside others, go back to their documents as places and lengths.
 
 Defined results: a null text has no words; a document with fewer than n words keeps all; rows without an id are left
 out; rows with the same id are told apart by their text, and are never copies of each other (no smaller id); an empty
@@ -31,8 +34,9 @@ from pyspark.sql import functions as F
 from .hashing import U, Words, mix, runs, slices
 from .shared import maybe_in, parts, reclaim, stage
 
-#: Words of the anchors' hashes. Suffixes in a group, beyond which its prefix grows, and the lengths that prefixes grow through.
-ANCHOR, GROUP = 5, 200_000
+#: Words of the anchors' hashes. Segments that share a prefix, beyond which it grows; segments in a group, on average.
+ANCHOR, GROUP, SEGMENTS = 5, 25_000, 40_000
+#: The lengths that prefixes grow through.
 PREFIXES = (1, 2, 4, ANCHOR)
 #: Heavy prefixes of a level that are broadcast; more are joined.
 LISTED = 100_000
@@ -213,72 +217,140 @@ def heavy_repeats(heavy: DataFrame, n: int) -> DataFrame:
     return again.unionByName(single.where("window is null").select("doc_id", "tag", "begin")).withColumn("windows", F.lit(1))
 
 
-def tree(words: list[bytes], windows: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(least id of the node n words deep, segment) of each suffix of the segments that has n words.
-
-    The suffixes are sorted by words; neighbours' common prefixes (up to n words) give the nodes of the suffix tree cut
-    at n words, of which those n deep are runs of neighbours that agree in all n."""
-    names: dict[bytes, int] = {}
-    flat: list[int] = []
-    begin = []
-    for text, count in zip(words, windows.tolist()):
-        own = text.split()
-        base = len(flat)
-        begin.append(np.arange(base, base + count))
-        flat.extend([names.setdefault(x, len(names)) for x in own])
-    code, at = np.array(flat, np.int32), np.concatenate(begin)
-    owner = np.repeat(np.arange(len(windows)), windows)
-    suffix = code[at[:, None] + np.arange(n)]
-    order = np.lexsort(suffix.T[::-1])
-    same = (suffix[order][1:] == suffix[order][:-1]).cumprod(1).sum(1) if len(order) > 1 else np.zeros(0, np.int64)
-    node = np.concatenate([[0], np.cumsum(same < n)])
-    least = np.full(node[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, node, ids[owner[order]])
-    out = np.empty(len(order), np.int64)
-    out[order] = least[node]
-    return out, owner
-
-
-def repeats(some: DataFrame, n: int, group: int = GROUP) -> DataFrame:
-    """(doc_id, tag, at): first words (packed) of the windows that a smaller id has too, a row for each document."""
-    groups = parts(some) * 2
-
-    def packed(doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        """Positions by bucket of documents: a row for each bucket, however many documents."""
-        bucket = (doc & 0x7FFFFFFF) % groups
-        order = np.lexsort((pos, tag, doc, bucket))
-        edges = np.searchsorted(bucket[order], np.arange(groups + 1))
+class Tree:
+    """The suffix tree of segments (lists of words): suffixes in order, and common prefixes of neighbours.
+
+    A segment ends in a terminator of its own. Ranks by the first 1, 2, 4, ... words come from ranks of pairs, until they
+    reach over the longest segment; two suffixes' common prefix comes from the same ranks, the longest first."""
+
+    def __init__(self, words: list[bytes], windows: np.ndarray):
+        """windows: of each segment, how many of its first suffixes are in the tree."""
+        names: dict[bytes, int] = {}
+        flat: list[int] = []
+        begin, longest = np.zeros(len(words), np.int64), 1
+        for k, text in enumerate(words):
+            own = text.split()
+            begin[k], longest = len(flat), max(longest, len(own) + 1)
+            flat.extend([names.setdefault(x, len(names)) for x in own])
+            flat.append(-1)
+        code = np.array(flat, np.int64)
+        ends = np.flatnonzero(code < 0)
+        code[ends] = len(names) + np.arange(len(ends))
+        self.code, self.size = code, len(code)
+        self.owner = np.repeat(np.arange(len(windows)), windows)  # segment of each suffix
+        self.inside = np.arange(len(self.owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.at = begin[self.owner] + self.inside
+        self.ranks, k = [code], 1
+        while k < longest:
+            last = self.ranks[-1]
+            pair = last * (self.size + len(names) + 1)
+            pair[: self.size - k] += last[k:] + 1
+            self.ranks.append(np.unique(pair, return_inverse=True)[1].astype(np.int64))
+            k *= 2
+        self.order = np.argsort(self.ranks[-1][self.at], kind="stable")
+        self.lcp = self.common(self.at[self.order[:-1]], self.at[self.order[1:]]) if len(self.order) > 1 else np.zeros(0, np.int64)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Words that the suffixes at a and b begin with together."""
+        a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+        for level in range(len(self.ranks) - 1, -1, -1):
+            inside = np.maximum(a, b) < self.size
+            same = np.zeros(len(a), bool)
+            same[inside] = self.ranks[level][a[inside]] == self.ranks[level][b[inside]]
+            step = same.astype(np.int64) << level
+            out, a, b = out + step, a + step, b + step
+        return out
+
+    def nodes(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(depth, first, end) of every internal node at least so deep: its suffixes are order[first:end]."""
+        out = []
+        for depth in range(max(1, least), int(self.lcp.max(initial=0)) + 1):
+            cut = np.concatenate([[0], np.flatnonzero(self.lcp < depth) + 1, [len(self.order)]])
+            first, end = cut[:-1], cut[1:]
+            many = end - first > 1
+            first, end = first[many], end[many]
+            if len(first):
+                shallow = np.minimum.reduceat(np.append(self.lcp, depth + 1), np.stack([first, end - 1], 1).ravel())[::2]
+                real = shallow == depth  # otherwise all its suffixes go on together
+                out.append((np.full(real.sum(), depth), first[real], end[real]))
+        empty = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (empty, empty, empty)
+
+    def maximal(self, least: int) -> list[tuple[int, list[int]]]:
+        """(words, places in code) of each maximal repeat: nodes whose suffixes do not all follow one word."""
+        out = []
+        for depth, first, end in zip(*(x.tolist() for x in self.nodes(least))):
+            places = self.at[self.order[first:end]]
+            before = [int(self.code[p - 1]) if p else -1 for p in places.tolist()]
+            if len(set(before)) > 1:
+                out.append((depth, sorted(places.tolist())))
+        return out
+
+    def repeated(self, ids: np.ndarray, least: int) -> np.ndarray:
+        """For each suffix the depth of the deepest node above it that has a smaller id than its segment's; 0 if none
+        at least so deep. On a path from the root the nodes' least ids only grow."""
+        own = ids[self.owner[self.order]]
+        deep = np.zeros(len(own), np.int64)
+        for depth in range(least, int(self.lcp.max(initial=0)) + 1):
+            cut = np.concatenate([[0], np.flatnonzero(self.lcp < depth) + 1])
+            node = np.repeat(np.minimum.reduceat(own, cut), np.diff(np.append(cut, len(own))))
+            deep[node < own] = depth
+        out = np.empty(len(own), np.int64)
+        out[self.order] = deep
+        return out
+
+
+def outer(segment: np.ndarray, place: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which intervals (in order of place in each segment) reach beyond all before them in their segment."""
+    if not len(segment):
+        return np.zeros(0, bool)
+    base = (np.cumsum(np.append(True, segment[1:] != segment[:-1])) - 1) << 32  # so that a running maximum starts anew
+    end = base + place + length
+    return np.append(True, end[1:] > np.maximum.accumulate(end)[:-1])
+
+
+def repeats(some: DataFrame, n: int, group: int = GROUP, segments_: int = SEGMENTS) -> DataFrame:
+    """(doc_id, tag, at): places and lengths (packed pairs) of the repeats that a smaller id has too, by document."""
+    loose = some.where("not covered")
+    groups = max(1, -(-loose.count() // segments_))
+    buckets = max(groups, parts(some))
+
+    def packed(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        """Repeats by bucket of documents: a row for each bucket, however many documents."""
+        bucket = (doc & 0x7FFFFFFF) % buckets
+        order = np.lexsort((place, tag, doc, bucket))
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         some_ = np.flatnonzero(np.diff(edges))
         cut = [order[edges[k] : edges[k + 1]] for k in some_.tolist()]
-        return pa.RecordBatch.from_arrays([pa.array(some_.astype(np.int32)), *[pa.array([x[i].tobytes() for i in cut], pa.binary()) for x in (doc, tag, pos)]], ["bucket", "docs", "tags", "pos"])
+        at = np.stack([place, length], 1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(some_.astype(np.int32)), *[pa.array([x[i].tobytes() for i in cut], pa.binary()) for x in (doc, tag, at)]], ["bucket", "docs", "tags", "at"])
 
     def grow(table: pa.Table) -> pa.Table:
         doc, tag, begin, windows = (table[c].to_numpy() for c in ("doc_id", "tag", "begin", "windows"))
-        least, owner = tree(table["words"].to_pylist(), windows, doc, n)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        hit = least < doc[owner]
-        owner, inside = owner[hit], inside[hit]
-        return pa.Table.from_batches([packed(doc[owner], tag[owner], (begin[owner] + inside).astype(np.int32))])
+        tree = Tree(table["words"].to_pylist(), windows)
+        deep = tree.repeated(doc, n)
+        hit = np.flatnonzero(deep)
+        hit = hit[outer(tree.owner[hit], tree.inside[hit], deep[hit])]
+        owner = tree.owner[hit]
+        return pa.Table.from_batches([packed(doc[owner], tag[owner], begin[owner] + tree.inside[hit], deep[hit])])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, tag, begin, windows = _arrays(b, "doc_id", "tag", "begin", "windows")
-            owner = np.repeat(np.arange(len(windows)), windows)
-            inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-            if len(owner):
-                yield packed(doc[owner], tag[owner], (begin[owner] + inside).astype(np.int32))
+            if b.num_rows:
+                doc, tag, begin, windows = _arrays(b, "doc_id", "tag", "begin", "windows")
+                yield packed(doc, tag, begin, windows + (n - 1))
 
     def by_document(table: pa.Table) -> pa.Table:
-        doc, tag, pos = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]]) for c, t in (("docs", np.int64), ("tags", np.int64), ("pos", np.int32)))
-        order = np.lexsort((pos, tag, doc))
-        doc, tag, pos = doc[order], tag[order], pos[order]
+        doc, tag, at = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]]) for c, t in (("docs", np.int64), ("tags", np.int64), ("at", np.int64)))
+        order = np.lexsort((at, tag, doc))
+        doc, tag, at = doc[order], tag[order], at[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
         first = np.flatnonzero(new)
-        return pa.table({"doc_id": doc[first], "tag": tag[first], "at": pa.array([pos[a:e].tobytes() for a, e in zip(first, np.append(first[1:], len(pos)))], pa.binary())})
+        return pa.table({"doc_id": doc[first], "tag": tag[first], "at": pa.array([at[a:e].tobytes() for a, e in zip(first, np.append(first[1:], len(at)))], pa.binary())})
 
-    kind = "bucket int, docs binary, tags binary, pos binary"
-    dealt = grouped(some.where("not covered"), group)
+    kind = "bucket int, docs binary, tags binary, at binary"
+    dealt = grouped(loose, group)
     heavy = dealt.where("heavy")
     light = dealt.where("not heavy").drop("heavy").withColumn("group", F.pmod(F.xxhash64("prefix"), F.lit(groups)))
     trees = light.groupBy("group").applyInArrow(grow, kind)
@@ -289,19 +361,19 @@ def repeats(some: DataFrame, n: int, group: int = GROUP) -> DataFrame:
     return trees.unionByName(covered).groupBy("bucket").applyInArrow(by_document, "doc_id long, tag long, at binary")
 
 
-def remove(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) of every row, without the words under the windows found."""
+def remove(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text) of every row, without the words under the repeats found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             w = Words(b.column("text"))
-            gone = np.zeros(len(w.start) + n, bool)
+            step = np.zeros(len(w.start) + 1, np.int64)
             for base, at in zip(w.first.tolist(), b.column("at").to_pylist()):
                 if at:
-                    pos = np.unique(np.frombuffer(b"".join(at), np.int32)) + base
-                    for k in range(n):
-                        gone[pos + k] = True
-            gone = gone[: len(w.start)]
+                    place, length = np.frombuffer(b"".join(at), np.int32).reshape(-1, 2).astype(np.int64).T
+                    np.add.at(step, base + place, 1)
+                    np.add.at(step, base + place + length, -1)
+            gone = np.cumsum(step)[:-1] > 0
             data, keep = w.raw.tobytes(), np.flatnonzero(~gone)
             edges = np.searchsorted(keep, w.first)
             text = [data[a:e] for a, e in zip(w.start[keep].tolist(), w.end[keep].tolist())]
@@ -325,4 +397,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reclaim(docs.sparkSession)
     at = stage(repeats(some, n), "repeats")
     reclaim(docs.sparkSession)
-    return remove(rows, at, n)
+    return remove(rows, at)

@@ -8,13 +8,16 @@ with all the short n-grams. Documents meet the parts by broadcast, as many at on
 document's negative log-probability is the sum of what its bytes have in each part of its language. Every language with
 enough trusted texts has tables of its own; small ones are broadcast together.
 
-The mean negative log-probability a byte (the log of the perplexity) is held against a quantile of the trusted texts'
-values in the same language, plus a margin; documents above it are rejected.
+The mean negative log-probability a byte (the log of the perplexity) is held against a quantile of trusted texts' values
+in the same language. These are out of sample: trusted texts are dealt into ``FOLDS`` folds by hash, and each is scored
+by a model of the other folds' texts. Short texts vary more, so the quantile is taken of the value less ``SHORT`` over
+the square root of a text's bytes, which the text's own threshold gets back. Documents above it are rejected.
 
-Defined results: a null or empty text has log_perplexity null and is rejected; a null language is a language of its
-own; a language with fewer than ``LEAST_TRUSTED`` trusted texts uses the model and threshold of all languages together;
+Defined results: a null or empty text has log_perplexity null and is rejected; a null language is the empty
+one; a language with fewer than ``LEAST_TRUSTED`` trusted texts uses the model and threshold of all languages together;
 a text at the threshold is kept; several labels of one id count as trusted if any does; repeated rows are scored one by
-one; without any trusted text only empty texts are rejected; an empty table gives an empty result.
+one; without any trusted text only empty texts are rejected; a document of no language with a model is held against the pooled
+texts' quantile; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,10 +37,12 @@ from .shared import maybe_in, stage
 ORDER = 5
 #: Entries of the tables that are broadcast at once, of 12 bytes each.
 TABLE = 3 << 20
-#: Short texts vary more: their threshold is higher by SHORT over the square root of their bytes.
-QUANTILE, MARGIN, SHORT = 0.99, 0.25, 2.5
+#: Quantile of trusted texts that the threshold is, a margin above it, and what is added over the square root of a text's bytes.
+QUANTILE, MARGIN, SHORT = 0.99, 0.05, 2.5
+FOLDS = 2
 LEAST_TRUSTED = 50
-POOLED = "*"
+#: The model of all languages together; and what stands between a language and the fold that its model leaves out.
+POOLED, LEFT_OUT = "\x1e", "\x1f"
 #: Distinct n-grams that a task sums before it passes them on.
 HELD = 1 << 20
 
@@ -161,23 +166,26 @@ def surprise(tables: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]], code:
 
 
 def perplexities(docs: DataFrame, model: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(doc_id, lang, model, n_bytes, log_perplexity) of every whole text. A text whose language's tables have several
-    parts is read for each of them."""
+    """(doc_id, lang, model, n_bytes, log_perplexity) of every whole text by the tables of its ``model``, or without any,
+    where every byte is as likely. A text whose model's tables have several parts is read for each of them."""
     pieces, rounds = passes(sizes)
     spark = docs.sparkSession
-    names = F.broadcast(sizes.select(F.col("lang").alias("_own")))  # a row for each language
-    rows = docs.join(names, F.col("lang") == F.col("_own"), "left").select("doc_id", "lang", "text", F.coalesce("_own", F.lit(POOLED)).alias("model"))
+    rows = docs.select("doc_id", "lang", "text", "model")
     kind = "doc_id long, lang string, model string, tag long, n_bytes long, total double"
 
-    def scored(some: DataFrame, chosen: list[tuple[str, int]]) -> DataFrame:
+    def tables(chosen: list[tuple[str, int]]) -> object:
+        """Those parts, broadcast: about TABLE entries of 12 bytes, which the driver holds only until they are sent."""
         got: dict[tuple[str, int], dict] = {pair: {} for pair in chosen}
         wanted = F.concat_ws(":", F.col("part").cast("string"), "lang").isin([f"{k}:{lang}" for lang, k in chosen])
-        for r in model.where(wanted).toLocalIterator():  # about TABLE entries of 12 bytes
-            got[r["lang"], r["part"]][r["ord"], r["kind"]] = (np.frombuffer(r["codes"], U), np.frombuffer(r["data"], np.float32))
-        shared = spark.sparkContext.broadcast(got)
+        for r in model.where(wanted).toLocalIterator():
+            got[r["lang"], r["part"]][r["ord"], r["kind"]] = (bytes(r["codes"]), bytes(r["data"]))
+        return spark.sparkContext.broadcast(got)
+
+    def scored(some: DataFrame, chosen: list[tuple[str, int]]) -> DataFrame:
+        shared = tables(chosen)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            here = shared.value
+            here = {pair: {k: (np.frombuffer(c, U), np.frombuffer(d, np.float32)) for k, (c, d) in t.items()} for pair, t in shared.value.items()}
             held: dict[str, list[int]] = {}
             for name, k in here:
                 held.setdefault(name, []).append(k)
@@ -201,7 +209,7 @@ def perplexities(docs: DataFrame, model: DataFrame, sizes: DataFrame) -> DataFra
 
     several = [lang for lang, n in pieces.items() if n > 1]
     whole, cut = [], []
-    if POOLED not in pieces:  # no trusted text: every byte is as likely
+    if not pieces:  # no trusted text
         whole.append(scored(rows.withColumn("tag", F.lit(0).cast("long")), [(POOLED, 0)]))
     for chosen in rounds:
         single = [(n, k) for n, k in chosen if n not in several]
@@ -221,20 +229,36 @@ def perplexities(docs: DataFrame, model: DataFrame, sizes: DataFrame) -> DataFra
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Log-perplexity, threshold and verdict (``kept``) of every document. Trusted are the texts with label 1."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")).where("doc_id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.translate(F.coalesce(F.col(lang_col).cast("string"), F.lit("")), POOLED + LEFT_OUT, "").alias("lang")).where("doc_id is not null")
     ids = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     ids = stage(ids, "trusted")
     trusted = maybe_in(ids, "doc_id")(rows, "doc_id", "_near").where("_near").drop("_near").join(ids, "doc_id", "left_semi")
-    exact = stage(counts(trusted), "counts")
-    sizes = trusted.groupBy("lang").agg(F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TRUSTED)
-    own = exact.join(F.broadcast(sizes.select("lang")), "lang", "left_semi")  # a row for each language
-    pooled = exact.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "code", "n")
-    model, parts_of = shards(own.unionByName(pooled))
-    scored = perplexities(rows, stage(model, "shards"), parts_of)
-    marks = scored.join(ids, "doc_id", "left_semi").where("log_perplexity is not null")
-    limit = F.percentile_approx("log_perplexity", F.lit(quantile), F.lit(10000)) + margin
-    limits = marks.groupBy("model").agg(limit.alias("own")).where(F.col("model") != POOLED)
-    overall = marks.groupBy().agg(limit.alias("overall"))
-    judged = scored.join(F.broadcast(limits), "model", "left").crossJoin(F.broadcast(overall))  # a row for each model, and one row
-    threshold = F.coalesce("own", "overall", F.lit(math.inf)) + F.lit(SHORT) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    trusted = stage(trusted.withColumn("fold", fold), "texts")
+    sizes = trusted.groupBy("lang").agg(F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TRUSTED).select(F.col("lang").alias("own"))
+    sizes = stage(sizes, "languages")  # a row for each language
+    exact = stage(counts(trusted.withColumn("lang", F.concat("lang", F.lit(LEFT_OUT), F.col("fold").cast("string")))), "counts")
+    exact = exact.select(F.regexp_extract("lang", f"(?s)^(.*){LEFT_OUT}", 1).alias("lang"), F.regexp_extract("lang", f"{LEFT_OUT}([0-9]+)$", 1).cast("int").alias("fold"), "code", "n")
+    # each count goes to the model of its language and the pooled one, whole and without each other fold
+    others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda k: k != F.col("fold"))
+    models = lambda name: F.concat(F.array(name), F.transform(others, lambda k: F.concat(name, F.lit(LEFT_OUT), k.cast("string"))))
+    known = exact.join(F.broadcast(sizes), F.col("lang") == F.col("own"), "left")
+    names = F.concat(F.when(F.col("own").isNotNull(), models(F.col("lang"))).otherwise(F.array().cast("array<string>")), models(F.lit(POOLED)))
+    summed = known.select(F.explode(names).alias("lang"), "code", "n").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    model, parts_of = shards(summed)
+    model = stage(model, "shards")
+    own = F.coalesce("own", F.lit(POOLED))
+    judged = perplexities(rows.join(F.broadcast(sizes), F.col("lang") == F.col("own"), "left").select("doc_id", "lang", "text", own.alias("model")), model, parts_of)
+    out_of_sample = trusted.join(F.broadcast(sizes), F.col("lang") == F.col("own"), "left")
+    pooled = F.lit(POOLED)
+    if rows.select("lang").distinct().join(F.broadcast(sizes), F.col("lang") == F.col("own"), "left_anti").isEmpty():
+        marked = out_of_sample.withColumn("base", own)  # no document needs the pooled threshold
+    else:
+        marked = out_of_sample.withColumn("base", F.explode(F.array_distinct(F.array(own, pooled))))
+    marked = marked.withColumn("model", F.concat("base", F.lit(LEFT_OUT), F.col("fold").cast("string")))
+    marks = perplexities(marked, model, parts_of).where("log_perplexity is not null")
+    free = F.col("log_perplexity") - F.lit(SHORT) / F.sqrt("n_bytes")
+    limits = marks.groupBy(F.regexp_extract("model", f"(?s)^(.*){LEFT_OUT}", 1).alias("model")).agg((F.percentile_approx(free, F.lit(quantile), F.lit(10000)) + margin).alias("limit"))
+    judged = judged.join(F.broadcast(limits), "model", "left")  # a row for each model
+    threshold = F.coalesce("limit", F.lit(math.inf)) + F.lit(SHORT) / F.sqrt(F.greatest("n_bytes", F.lit(1)))
     return judged.select("doc_id", "n_bytes", "log_perplexity", threshold.alias("threshold"), (F.col("log_perplexity").isNotNull() & (F.coalesce("log_perplexity", F.lit(0.0)) <= threshold)).alias("kept"))

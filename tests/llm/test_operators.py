@@ -104,8 +104,51 @@ def test_heavy_prefixes_lose_no_repeat(spark):
     rows = docs.withColumn("tag", F.xxhash64("text"))
     some = suffix_dedup.stage(suffix_dedup.segments(rows, suffix_dedup.stage(suffix_dedup.shared_anchors(rows, n), "anchors"), n), "segments")
     for group in (2, 10**6):
-        got = {r["doc_id"]: sorted(np.frombuffer(r["at"], np.int32).tolist()) for r in suffix_dedup.repeats(some, n, group).collect()}
-        assert got == {i: x for i, x in want.items() if x}
+        got = {r["doc_id"]: np.frombuffer(r["at"], np.int32).reshape(-1, 2).tolist() for r in suffix_dedup.repeats(some, n, group, segments_=20).collect()}
+        assert {i: sorted({k + j for k, length in x for j in range(length)}) for i, x in got.items()} == {i: sorted({k + j for k in x for j in range(n)}) for i, x in want.items() if x}
+        assert all(length >= n for x in got.values() for _, length in x)
+
+
+def test_suffix_tree_nodes():
+    """Internal nodes, maximal repeats and repeats' lengths of random segments against all pairs of places."""
+    rng = random.Random(13)
+    for _ in range(60):
+        segments = [[rng.choice("ab" if rng.random() < 0.5 else "abc") for _ in range(rng.randrange(1, 14))] for _ in range(rng.randrange(1, 7))]
+        ids = np.array([rng.randrange(4) for _ in segments])
+        windows = np.array([len(s) for s in segments])
+        tree = suffix_dedup.Tree([" ".join(s).encode() for s in segments], windows)
+        base = np.cumsum([0] + [len(s) + 1 for s in segments])
+        found = defaultdict(list)
+        for k, s in enumerate(segments):
+            for i in range(len(s)):
+                for j in range(i + 1, len(s) + 1):
+                    found[tuple(s[i:j])].append((k, i))
+        around = lambda k, i: (segments[k] + [f"end{k}"])[i] if i >= 0 else f"begin{k}"
+        right = {x: p for x, p in found.items() if len({around(k, i + len(x)) for k, i in p}) > 1}
+        want = {(len(x), tuple(sorted(int(base[k]) + i for k, i in p))) for x, p in right.items() if len(x) >= 2}
+        got = {(int(d), tuple(sorted(tree.at[tree.order[a:e]].tolist()))) for d, a, e in zip(*tree.nodes(2))}
+        assert got == want
+        most = {(len(x), tuple(sorted(int(base[k]) + i for k, i in p))) for x, p in right.items() if len(x) >= 2 and len({around(k, i - 1) for k, i in p}) > 1}
+        assert {(d, tuple(p)) for d, p in tree.maximal(2)} == most
+        deep = tree.repeated(ids, 2)
+        for (k, i), depth in zip(zip(tree.owner.tolist(), tree.inside.tolist()), deep.tolist()):
+            assert depth == max([j for j in range(2, len(segments[k]) - i + 1) if any(ids[q] < ids[k] for q, _ in found[tuple(segments[k][i : i + j])])], default=0)
+
+
+def test_hot_opening(spark):
+    """Half the documents open with the same eight words and go on differently, some as an earlier one does."""
+    rng, opening = random.Random(14), " ".join(f"hot{i}" for i in range(8))
+    texts = [f"{opening} " + " ".join(f"x{rng.randrange(40) if i % 5 else i}y{j}" for j in range(12)) if i % 2 else prose(rng, 30) for i in range(120)]
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        gone = {j for k in range(len(w) - 12) if first.setdefault(tuple(w[k : k + 13]), i) < i for j in range(k, k + 13)}
+        want[i] = len(gone)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).withColumn("tag", F.xxhash64("text"))
+    some = suffix_dedup.stage(suffix_dedup.segments(rows, suffix_dedup.stage(suffix_dedup.shared_anchors(rows, 13), "anchors"), 13), "segments")
+    for group, size in ((3, 10), (10**6, 10**6)):
+        got = {r.doc_id: r.n_removed for r in suffix_dedup.remove(rows, suffix_dedup.stage(suffix_dedup.repeats(some, 13, group, size), "repeats")).collect()}
+        assert got == want
 
 
 def components_of(sets, percent):

@@ -32,7 +32,7 @@ from .shared import parts, stage
 from .tokens import CACHED, definition, encoder
 
 #: Pieces in a block; islands, groupings on an island, generations between migrations, rounds of them.
-BLOCK, ISLANDS, GROUPINGS, GENERATIONS, EPOCHS = 2000, 2, 4, 24, 3
+BLOCK, ISLANDS, GROUPINGS, GENERATIONS, EPOCHS = 2000, 2, 4, 16, 3
 #: A bin that lacks at most this share of the length is final.
 SLACK = 1 / 128
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -221,7 +221,7 @@ def evolved(blocks: DataFrame, most: int, turn: int) -> DataFrame:
     for k in range(1, EPOCHS):  # the best of each island goes to the next; small rows, one for each island
         guests = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.element_at("groupings", 1).alias("guest"))
         met = state.select("block", "island", "lengths", "groupings").join(guests, ["block", "island"]).select("block", "island", "lengths", "groupings", "guest")
-        state = stage(met.mapInArrow(_epoch(most, turn * 16 + k), ISLAND), "islands")
+        state = stage(met.repartition(n, "block", "island").mapInArrow(_epoch(most, turn * 16 + k), ISLAND), "islands")
     return state.groupBy("block").agg(F.max_by(F.element_at("groupings", 1), F.struct(-F.col("bins"), "fill", -F.col("island"))).alias("best"))
 
 

@@ -5,14 +5,18 @@ distributed randomised SVD gives their latent space: each task multiplies its pa
 back, A'(A Omega); the sums, of the vocabulary's size, give the leading right singular vectors by a Nystroem step.
 Benchmark items are rows of A too, with as much weight as the corpus. Windows of 16 and 32 words of every document are
 projected and compared with all items by cosine (a stated query set against all rows, in blocks of items). Candidates
-are verified on the words: a longest common subsequence close to the whole item is a leak; a looser one, a paraphrase,
-also needs the answer check, most of the item's most telling terms.
-
-Words are lower-cased runs of letters and digits. Terms in more than ``STOP`` of the corpus's eight-word blocks carry
-no weight, unless an item has too few others.
-
-Defined results: null, empty and wordless texts match nothing; items of fewer than ``LEAST_WORDS`` words, or of fewer
-than three distinct terms, cannot be told from common speech and are not searched; equal items are reported each;
+are all pairs from ``COSINE`` on, whatever words they share; windows with no weighted term have no direction and are none.
+Those with too few words in common for any verdict fall out by a count; the others are verified: a longest common subsequence close to the whole item is a leak; a looser one, a
+paraphrase, also needs the answer check: most of the words of the item's answer, or without one of its most telling terms.
+
+Words are lower-cased runs of letters and digits; characters of scripts written without spaces are words each. Terms in
+more than ``STOP`` of the corpus's eight-word blocks carry no weight, unless an item has too few others. A latent space
+belongs to a block of items (``BLOCK_BYTES`` of text, which bounds its vocabulary); it only proposes candidates, and the
+reported cosine is that of the block's space.
+
+Defined results: null, empty and wordless texts match nothing; an item of fewer than ``LEAST_WORDS`` words or
+``LEAST_TERMS`` distinct ones has no direction to search by, and is a leak only where its words stand together as they
+are (cosine null); one of fewer than ``LEAST_EXACT`` cannot be told from common speech and is not searched; equal items are reported each;
 repeated rows are reported once for each id and item; rows without an id are left out; an empty table on either side
 gives an empty result.
 """
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +33,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import NOT_ALNUM, Words, runs, slices
+from .hashing import NOT_ALNUM, Words, buffer_of, runs, slices
 from .shared import stage
 
 BLOCK, SCALES, STOP = 8, (2, 4), 1e-3
 RANK, COSINE = 256, 0.5
-#: Items searched at once: bounds the vocabulary that is broadcast (at most 64 words an item on average are kept).
-ITEMS = 20_000
-LEAST_WORDS, LEAST_TERMS = 5, 3
+#: Text of the items that are searched at once: bounds the vocabulary that is broadcast.
+BLOCK_BYTES = 2 << 20
+LEAST_WORDS, LEAST_TERMS, LEAST_EXACT = 5, 3, 3
 #: Shares of an item's words in order: from LEAK on a leak, from LOOSE on one if KEYS of its TELLING rarest terms are there.
 LEAK, LOOSE, TELLING, KEYS = 0.75, 0.5, 8, 0.75
 FOUND = "doc_id long, item_id long, cosine double, lcs double, answer double, paraphrase boolean"
 
 
+#: Scripts without spaces between words.
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+
+
+def words_of(texts: pa.Array) -> Words:
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.utf8_lower(texts)
+    if (buffer_of(texts)[0] >= 0xE0).any():  # code points of three bytes and more
+        texts = pc.replace_substring_regex(texts, UNSPACED, r" \1 ")
+    return Words(texts, NOT_ALNUM)
+
+
 def lcs(a: dict[object, int], size: int, b: list) -> int:
     """Length of the longest common subsequence, bit-parallel. a: bits of each word's places."""
     full = (1 << size) - 1
@@ -54,13 +72,24 @@ def lcs(a: dict[object, int], size: int, b: list) -> int:
 class Items:
     """Benchmark items with the vocabulary that tells them apart."""
 
-    def __init__(self, ids: list[int], texts: pa.Array):
-        w = Words(pc.utf8_lower(texts), NOT_ALNUM)
-        h = w.hashes()
-        self.all = [h[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
-        use = [i for i, x in enumerate(self.all) if len(x) >= LEAST_WORDS and len(np.unique(x)) >= LEAST_TERMS]
-        self.ids, self.words = [ids[i] for i in use], [self.all[i] for i in use]
+    def __init__(self, ids: list[int], texts: pa.Array, answers: pa.Array | None = None):
+        h = self.split(texts)
+        use = [i for i, x in enumerate(h) if len(x) >= LEAST_WORDS and len(np.unique(x)) >= LEAST_TERMS]
+        self.ids, self.words = [ids[i] for i in use], [h[i] for i in use]
         self.vocab = np.unique(np.concatenate(self.words)) if use else np.zeros(0, np.uint64)
+        held = self.split(answers) if answers is not None else [np.zeros(0, np.uint64)] * len(h)
+        self.answers = [set(held[i].tolist()) for i in use]
+        #: by length: items that are only searched as they are
+        self.short: dict[int, dict[tuple, list[int]]] = {}
+        for i in sorted(set(range(len(h))) - set(use)):
+            if len(h[i]) >= LEAST_EXACT:
+                self.short.setdefault(len(h[i]), {}).setdefault(tuple(h[i].tolist()), []).append(ids[i])
+
+    @staticmethod
+    def split(texts: pa.Array) -> list[np.ndarray]:
+        w = words_of(texts)
+        h = w.hashes()
+        return [h[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
 
     def weigh(self, df: np.ndarray, blocks: int) -> None:
         """Inverse document frequencies; stop terms weigh nothing."""
@@ -71,11 +100,11 @@ class Items:
             if used[at].sum() < LEAST_TERMS:
                 used[at] = True
         self.idf = np.where(used, idf, 0.0)
-        self.terms = [set(at[used[at]].tolist()) for at in (np.unique(np.searchsorted(self.vocab, x)) for x in self.words)]
         self.telling = []
-        for x in self.words:
+        for x, answer in zip(self.words, self.answers):
             at = np.unique(np.searchsorted(self.vocab, x))
-            self.telling.append(set(self.vocab[at[np.argsort(-idf[at], kind="stable")[:TELLING]]].tolist()))
+            self.telling.append(answer or set(self.vocab[at[np.argsort(-idf[at], kind="stable")[:TELLING]]].tolist()))
+        self.counts = [dict(zip(*(v.tolist() for v in np.unique(x, return_counts=True)))) for x in self.words]
         bits = []
         for x in self.words:
             own: dict[int, int] = {}
@@ -84,12 +113,33 @@ class Items:
             bits.append(own)
         self.bits = bits
 
-    def matrix(self) -> np.ndarray:
-        out = np.zeros((len(self.words), len(self.vocab)))
-        for i, x in enumerate(self.words):
-            np.add.at(out[i], np.searchsorted(self.vocab, x), 1.0)
-        out *= self.idf  # of equal length, so that no item falls out of the latent space for its few or plain words
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    def matrix(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, term, weight): the items' unit vectors, only what is not zero. Of equal length, so that no item falls out
+        of the latent space for its few or plain words."""
+        item = np.repeat(np.arange(len(self.words)), [len(x) for x in self.words])
+        key, n = np.unique((item << 32) + np.searchsorted(self.vocab, np.concatenate(self.words)), return_counts=True)
+        item, term = key >> 32, key & 0xFFFFFFFF
+        weight = n * self.idf[term]
+        length = np.sqrt(np.bincount(item, weight**2, len(self.words)))
+        return item, term, weight / np.maximum(length, 1e-12)[item]
+
+    def latent_of(self, projection: np.ndarray) -> np.ndarray:
+        """The items' directions in a latent space."""
+        own = np.stack([projection[np.searchsorted(self.vocab, x)].sum(0) for x in self.words])
+        return own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+
+
+def gram(matrix: tuple[np.ndarray, np.ndarray, np.ndarray], right: np.ndarray) -> np.ndarray:
+    """A'(A right) of a sparse matrix A, given by (row, column, value) in order of rows."""
+    row, column, value = matrix
+    begin = runs(row)
+    own = np.add.reduceat(right[column] * value[:, None], begin, axis=0)
+    out = np.zeros_like(right)
+    order = np.argsort(column, kind="stable")
+    back = own[(np.cumsum(np.isin(np.arange(len(row)), begin)) - 1)[order]] * value[order][:, None]
+    first = runs(column[order])
+    out[column[order][first]] = np.add.reduceat(back, first, axis=0)
+    return out
 
 
 def tokens(w: Words, vocab: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +165,7 @@ def frequencies(rows: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, blocks = np.zeros(len(shared.value), np.int64), 0
         for b in slices(batches):
-            w = Words(pc.utf8_lower(b.column("text")), NOT_ALNUM)
+            w = words_of(b.column("text"))
             blocks += int((-(-w.count // BLOCK)).sum())
             at, term = tokens(w, shared.value)
             block = w.doc[at].astype(np.int64) * (1 << 24) + (at - w.first[w.doc[at]]) // BLOCK
@@ -145,7 +195,7 @@ def latent(rows: DataFrame, items: Items, rank: int = RANK, seed: int = 5) -> np
         vocab, idf, om = shared.value
         z, energy = np.zeros((len(vocab), rank), np.float64), 0.0
         for b in slices(batches):
-            w = Words(pc.utf8_lower(b.column("text")), NOT_ALNUM)
+            w = words_of(b.column("text"))
             at, term = tokens(w, vocab, idf > 0)
             if not len(at):
                 continue
@@ -169,11 +219,11 @@ def latent(rows: DataFrame, items: Items, rank: int = RANK, seed: int = 5) -> np
     own = items.matrix()
     if got.num_rows:
         z = np.concatenate([np.frombuffer(x.as_buffer(), np.float64) for x in got["z"]]).reshape(size, rank)
-        weight = sum(got["energy"].to_pylist()) / max(float((own**2).sum()), 1e-12)
+        weight = sum(got["energy"].to_pylist()) / max(float((own[2] ** 2).sum()), 1e-12)
     else:
         z, weight = np.zeros((size, rank)), 1.0
     om = omega.astype(np.float64)
-    z = z + max(weight, 1e-6) * (own.T @ (own @ om))
+    z = z + max(weight, 1e-6) * gram(own, om)
     core = om.T @ z  # Nystroem: A'A is about z core^-1 z'
     value, vector = np.linalg.eigh((core + core.T) / 2)
     good = value > value.max() * 1e-9
@@ -184,9 +234,8 @@ def latent(rows: DataFrame, items: Items, rank: int = RANK, seed: int = 5) -> np
 
 def search(rows: DataFrame, items: Items, projection: np.ndarray) -> DataFrame:
     """Verified matches of all windows of all documents with all items."""
-    own = np.stack([projection[np.searchsorted(items.vocab, x)].sum(0) for x in items.words])
-    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-    shared = rows.sparkSession.sparkContext.broadcast((items.vocab, items.idf > 0, projection, own.astype(np.float32), items.ids, items.words, items.bits, items.telling, items.terms))
+    own = items.latent_of(projection)
+    shared = rows.sparkSession.sparkContext.broadcast((items.vocab, items.idf > 0, projection, own.astype(np.float32), items.ids, items.words, items.bits, items.telling, items.counts))
 
     def verify(words: list, start: int, end: int, item: int, value: tuple) -> tuple[float, float, bool] | None:
         size, bits, telling = len(value[5][item]), value[6][item], value[7][item]
@@ -207,7 +256,7 @@ def search(rows: DataFrame, items: Items, projection: np.ndarray) -> DataFrame:
         value = shared.value
         vocab, used, proj, targets, ids = value[:5]
         for b in slices(batches):
-            w = Words(pc.utf8_lower(b.column("text")), NOT_ALNUM)
+            w = words_of(b.column("text"))
             at, term = tokens(w, vocab, used)
             if not len(at):
                 continue
@@ -223,16 +272,13 @@ def search(rows: DataFrame, items: Items, projection: np.ndarray) -> DataFrame:
                 begin = w.first[starts[:, 0]] + starts[:, 1] * BLOCK
                 end = np.minimum(begin + scale * BLOCK, w.first[starts[:, 0] + 1])
                 lo, hi = np.searchsorted(at, begin), np.searchsorted(at, end)
-                fine = np.flatnonzero(hi - lo >= LEAST_TERMS)
+                fine = np.flatnonzero(hi > lo)
                 for k in range(0, len(fine), 4096):
                     some = fine[k : k + 4096]
                     v = sums[hi[some]] - sums[lo[some]]
                     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                     cosine = v @ targets.T
                     for i, j in zip(*np.nonzero(cosine >= COSINE)):
-                        shared_terms = len(value[8][j].intersection(term[lo[some[i]] : hi[some[i]]].tolist()))
-                        if shared_terms < min(LEAST_TERMS, 0.6 * len(value[8][j])):
-                            continue  # one or two words in common
                         d = int(starts[some[i], 0])
                         found[d, int(j)].append((int(begin[some[i]] - w.first[d]), int(end[some[i]] - w.first[d]), float(cosine[i, j])))
             out, text, last = [], [], -1
@@ -249,6 +295,10 @@ def search(rows: DataFrame, items: Items, projection: np.ndarray) -> DataFrame:
                         k += 1
                         end, cosine = max(end, windows[k][1]), max(cosine, windows[k][2])
                     k += 1
+                    size, counts, telling = len(value[5][j]), value[8][j], value[7][j]
+                    around = set(text[max(0, start - size) : end + size])
+                    if sum(map(counts.__getitem__, counts.keys() & around)) < LEAK * size and len(telling & around) < KEYS * len(telling):
+                        continue  # too few words in common for either verdict
                     got = verify(text, start, end, j, value)
                     if got and (best is None or got[0] > best[1]):
                         best = (cosine, *got)
@@ -260,22 +310,48 @@ def search(rows: DataFrame, items: Items, projection: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, FOUND)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK) -> DataFrame:
+def exact(rows: DataFrame, short: dict[int, dict[tuple, list[int]]]) -> DataFrame:
+    """Where the words of items too short for the latent space stand together."""
+    shared = rows.sparkSession.sparkContext.broadcast(short)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins = {n: np.array(sorted({x[0] for x in own}), np.uint64) for n, own in shared.value.items()}
+        for b in slices(batches):
+            w = words_of(b.column("text"))
+            h = w.hashes()
+            found: set[tuple[int, int]] = set()
+            for n, own in shared.value.items():
+                at = np.flatnonzero(np.isin(h[: max(0, len(h) - n + 1)], begins[n]))
+                for i in at[w.doc[at] == w.doc[at + n - 1]].tolist():
+                    found |= {(int(w.doc[i]), item) for item in own.get(tuple(h[i : i + n].tolist()), ())}
+            if found:
+                out = [(b.column("doc_id")[d].as_py(), item, None, 1.0, 1.0, False) for d, item in sorted(found)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()))], [x.split()[0] for x in FOUND.split(", ")])
+
+    return rows.mapInArrow(run, FOUND)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, paraphrase): every document and benchmark item that it holds."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
-    blocks, out = -(-bench.count() // ITEMS), None
-    for k in range(blocks):  # at most about ITEMS rows are collected at a time
-        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()
-        items = Items(part["item_id"].to_pylist(), part["text"].combine_chunks() if part.num_rows else pa.array([], pa.string()))
-        if not items.ids:
+    answer = F.lit(None).cast("string") if answer_col is None else F.col(answer_col).cast("string")
+    bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"), answer.alias("answer")).where("item_id is not null and text is not null")
+    size, found = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0, []
+    blocks = -(-size // BLOCK_BYTES)
+    for k in range(blocks):  # about BLOCK_BYTES of items are collected at a time
+        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow().combine_chunks()
+        if not part.num_rows:
             continue
-        df, count = frequencies(rows, items.vocab)
-        items.weigh(df, count)
-        found = search(rows, items, latent(rows, items, rank))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+        items = Items(part["item_id"].to_pylist(), part["text"], part["answer"])
+        if items.short:
+            found.append(exact(rows, items.short))
+        if items.ids:
+            df, count = frequencies(rows, items.vocab)
+            items.weigh(df, count)
+            found.append(search(rows, items, latent(rows, items, rank)))
+    if not found:
         return rows.sparkSession.createDataFrame([], FOUND)
+    out = reduce(DataFrame.unionByName, found)
     best = F.max_by(F.struct("cosine", "answer", "paraphrase"), F.struct("lcs", "cosine", "answer"))
     out = out.groupBy("doc_id", "item_id").agg(best.alias("b"), F.max("lcs").alias("lcs"))
     return stage(out.select("doc_id", "item_id", "b.cosine", "lcs", "b.answer", "b.paraphrase"), "leaks")

@@ -590,6 +590,46 @@ def test_decontamination(spark, nothing):
     assert decontaminate.decontaminate(nothing, bench).count() == 0 and decontaminate.decontaminate(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_against_all_pairs(spark):
+    """Every item against every place of every document: from LEAK on a leak, under LOOSE of the whole text none."""
+    rng = random.Random(21)
+    items = {i: [f"w{min(rng.randrange(900), rng.randrange(900))}" for _ in range(rng.randrange(6, 40))] for i in range(50)}
+    docs = {}
+    for i in range(160):
+        w = prose(rng, rng.randrange(20, 160), 900).split()
+        if i % 2:
+            own = [x for x in items[i % 50] if rng.random() > (i % 7) / 12]
+            at = rng.randrange(len(w))
+            w[at:at] = own
+        docs[i] = w
+    docs[160] = prose(rng, 30_000, 900).split() + items[7] + prose(rng, 500, 900).split()
+    df = spark.createDataFrame([(i, " ".join(w), "x") for i, w in docs.items()] * 2, "doc_id long, text string, cosine string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(99, " ".join(items[7]))], "item_id long, text string")
+    rows = decontaminate.decontaminate(df, bench).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    assert len(rows) == len(got)  # repeated rows are reported once
+    for i, w in docs.items():
+        for j, x in [*items.items(), (99, items[7])]:
+            bits = {}
+            for k, word in enumerate(x):
+                bits[word] = bits.get(word, 0) | 1 << k
+            if i == 160:
+                assert ((i, j) in got) == (j in (7, 99))
+                continue
+            near = max(decontaminate.lcs(bits, len(x), w[a : a + len(x)]) for a in range(max(1, len(w) - len(x) + 1)))
+            if near >= decontaminate.LEAK * len(x):
+                assert (i, j) in got, (i, j, near, len(x))
+            if decontaminate.lcs(bits, len(x), w) < decontaminate.LOOSE * len(x):
+                assert (i, j) not in got
+
+
+def test_short_and_unspaced_items(spark):
+    docs = spark.createDataFrame([(1, "so the Quick brown, fox went"), (2, "quick fox brown"), (3, "前置きです。東京都は日本の首都であり世界最大の都市圏です。終わり"), (4, "quick brown"), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "quick brown fox"), (2, "quick brown"), (3, "東京都は日本の首都であり世界最大の都市圏です"), (4, "w x y z v u")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.cosine for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert set(got) == {(1, 1), (3, 3)} and got[1, 1] is None
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(300):

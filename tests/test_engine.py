@@ -271,6 +271,19 @@ def test_recall_direction_and_comparison(library):
     assert set(ask(library, "Compare RX-100 and RX200 camera")) == {"r1", "r2"}
 
 
+def test_compatibility_forms(spark):
+    import unicodedata
+
+    texts = ["plain", "ｆｕｌｌ－ｗｉｄｔｈ＠ｅｘａｍｐｌｅ．ｃｏｍ", "ﬁle №5 ½ ㎏ ™ 𝐛𝐨𝐥𝐝 ⑩ ﷺ", "Ⅷ ǆ ㍿ ﾊﾟ", "josé@exämple.com", "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.compatible("t")).collect()]
+    assert got[:3] == [unicodedata.normalize("NFKC", t) for t in texts[:3]] and got[5:] == ["", None]
+    assert unicodedata.normalize("NFKC", got[3]) == unicodedata.normalize("NFKC", texts[3])
+    hidden = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.redact("t")).collect()]
+    assert hidden[1] == hidden[4] == "[redacted email]"
+    folded = [r[0] for r in spark.createDataFrame([("Άλφα й ё Ñandú Ṩ",)], "t string").select(text.fold("t")).collect()]
+    assert folded == ["αλφα и е nandu s"]
+
+
 def test_recall_validates(library):
     with pytest.raises(plans.InvalidRequest):
         plans.plan(plans.Request("q", "s", "x" * 513))

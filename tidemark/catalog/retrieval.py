@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text
+from ..functions import contract, text
 from ..operators import evaluation, feedback, ingest, packet, search
 from .base import ATOM, OBS, as_of, observations, query, r6, table
 from .texts import TOK
 
-#: Questions: the first line of every 20th document.
-ASK = f"""q AS (SELECT doc_id AS request_id, list_slice(list_distinct_ordered, 1, 8) AS terms FROM (SELECT doc_id, list_filter(t, lambda x, i: length(x) >= 4 AND list_position(t, x) = i) AS list_distinct_ordered
-  FROM (SELECT doc_id, {TOK.format("split_part(text, chr(10), 1)")} AS t FROM documents WHERE doc_id % 20 = 0)))"""
+STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in text.STOP_FOLDED)
+#: Questions: the whole text of every document whose id is divisible by 20; of their terms, as the engine takes them, the first 32.
+ASK = f"""q0 AS (SELECT doc_id AS request_id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, {TOK.format("text")} AS t FROM documents WHERE doc_id % 20 = 0)),
+q1 AS (SELECT request_id, term, min(i) AS i FROM q0 WHERE (length(term) >= 2 OR regexp_full_match(term, '[0-9]+')) AND term NOT IN ({STOP}) GROUP BY ALL),
+q AS (SELECT request_id, list(term ORDER BY i) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY i) AS rn FROM q1) WHERE rn <= 32 GROUP BY request_id)"""
 BM25 = f"""{ASK}, d AS (SELECT doc_id AS doc, {TOK.format('text')} AS t FROM documents), st AS (SELECT count(*)::DOUBLE AS n, avg(len(t)::DOUBLE) AS avgdl FROM d),
 a AS (SELECT request_id, unnest(terms) AS term FROM q), f AS (SELECT doc, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT term, doc, dl, count(*)::DOUBLE AS tf FROM f SEMI JOIN a USING (term) GROUP BY ALL),
 df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
@@ -22,9 +24,7 @@ lex AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(scor
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    terms = F.slice(F.array_distinct(F.filter(text.tokens(first), lambda t: F.length(t) >= 4)), 1, 8)
-    return table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("request_id"), terms.alias("terms"))
+    return table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("request_id"), text.query_terms("text").alias("terms")).where("size(terms) > 0")
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,23 +104,28 @@ def comparison_arm_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.merge_arms(one.unionByName(two), ["lang"]).select("lang", "doc", F.col("arms").cast("long").alias("arms"), F.col("rank").cast("long").alias("place"))
 
 
-@query("""WITH r AS (SELECT doc_id AS doc, lang, trim(regexp_replace(left(text, 40), '\\s+', ' ', 'g')) AS title, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn, CASE WHEN doc_id % 10 = 0 THEN 'confirmed' ELSE 'observed' END AS state FROM documents)
+@query("""WITH r AS (SELECT doc_id AS doc, lang, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS title, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn, CASE WHEN doc_id % 10 = 0 THEN 'confirmed' ELSE 'observed' END AS state FROM documents)
 SELECT lang, doc, rn AS place, min(rn) OVER (PARTITION BY lang, title, state, CASE WHEN state = 'confirmed' THEN doc ELSE -1 END) AS group_place FROM r""")
 def payload_group_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First rank among observed documents with one title; confirmed ones stay alone."""
-    d = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("doc"), F.substring("text", 1, 40).alias("title"), F.when(F.col("doc_id") % 10 == 0, F.lit("confirmed")).otherwise(F.lit("observed")).alias("state"))
+    d = table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("doc"), F.col("text").alias("title"), F.when(F.col("doc_id") % 10 == 0, F.lit("confirmed")).otherwise(F.lit("observed")).alias("state"))
     ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("doc")))
     out = search.payload_groups(ranked, ["title", "state"], ["lang"])
     return out.select("lang", "doc", F.col("rank").cast("long").alias("place"), F.col("group_rank").cast("long").alias("group_place"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT lang, CAST(doc_id AS VARCHAR) AS atom, source, octet_length(encode(CAST(to_json({'text': text}) AS VARCHAR))) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
+s AS (SELECT lang, 0::BIGINT AS rn, ''::VARCHAR AS atom, ''::VARCHAR AS source, FALSE AS taken, 64::BIGINT AS bytes, 0::BIGINT AS n_taken, []::VARCHAR[] AS sites FROM (SELECT DISTINCT lang FROM d)
+  UNION ALL SELECT lang, rn, atom, source, ok, CASE WHEN ok THEN bytes ELSE before END, CASE WHEN ok THEN n_taken + 1 ELSE n_taken END, CASE WHEN ok THEN list_append(sites, source) ELSE sites END FROM (
+    SELECT d.lang, d.rn, d.atom, d.source, s.bytes AS before, s.bytes + d.n + (s.n_taken > 0)::INT AS bytes, s.n_taken, s.sites, s.n_taken < 6 AND len(list_filter(s.sites, lambda x: x = d.source)) < 2 AND s.bytes + d.n + (s.n_taken > 0)::INT <= 16384 AS ok
+    FROM s JOIN d ON d.lang = s.lang AND d.rn = s.rn + 1 WHERE d.rn <= 160))
+SELECT lang AS request_id, n_taken - 1 AS position, atom, source AS site, bytes FROM s WHERE taken""")
 def packet_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets of a language's documents: at most six, two from a source, within the bytes."""
-    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("request_id"), F.col("doc_id").cast("string").alias("atom"), F.col("source").alias("site"), F.to_json(F.struct(F.substring("text", 1, 300).alias("text"))).alias("record"), "doc_id")
+    """Packets of a language's documents: at most six, two from a source, within the greatest number of bytes, from as many as the channels hold."""
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("request_id"), F.col("doc_id").cast("string").alias("atom"), F.col("source").alias("site"), F.to_json(F.struct("text")).alias("record"), "doc_id")
     ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy("doc_id"))).where("rank <= 160")
-    rows = ranked.withColumns({"group_rank": F.col("rank"), "arms": F.lit(0), "all_arms": F.lit(0), "max_bytes": F.lit(1600)})
-    return packet.select(rows).select("request_id", "position", "atom", "site", "bytes")
+    rows = ranked.withColumns({"group_rank": F.col("rank"), "arms": F.lit(0), "all_arms": F.lit(0), "max_bytes": F.lit(16384)})
+    return packet.select(rows).select("request_id", F.col("position").cast("long").alias("position"), "atom", "site", F.col("bytes").cast("long").alias("bytes"))
 
 
 HISTORY = """f AS (SELECT doc_id * 3 AS seq, doc_id % 97 AS atom, CASE WHEN toxic = 1 THEN 'do_not_use' WHEN quality = 1 THEN 'confirm_constraint' ELSE 'temporary_research' END AS action, CASE WHEN doc_id % 5 <> 0 THEN 'text ' || doc_id END AS words FROM labels)"""
@@ -192,19 +197,58 @@ def stage_loss_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.stage_loss(rel, stages)
 
 
+#: Records: a sentence for each order, with its model's name and price; every ninth is confirmed.
+SOLD = """o AS (SELECT o_orderkey AS k, 'c' || (o_custkey % 50) || '.example.org' AS site, 'paid $' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '.' || printf('%02d', o_orderkey % 100) || ' for model RX-' || (o_orderkey % 1000) || ' with order ' || o_orderkey AS title,
+  o_orderkey % 80 AS age, o_orderkey % 9 = 0 AS confirmed, o_orderkey % 5 AS sessions FROM orders)"""
 
 
-@query()
-def recall_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets for the opening words of every 100th document, over first lines as records and all three channels."""
-    from ..plans.recall import Request, recall
-
-    docs = table(spark, sf_dir, "documents")
-    first = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 200)
-    records = docs.select(
-        F.col("doc_id").cast("string").alias("atom"), F.lit("all").alias("source"), F.concat("source", F.lit(".example.org")).alias("site"), F.lit("visit").alias("kind"), first.alias("title"), F.lit(None).cast("string").alias("query"),
-        (as_of() - F.make_dt_interval(F.col("doc_id").cast("int") % 80)).alias("last_seen"), F.when(F.col("doc_id") % 9 == 0, F.lit("confirmed")).otherwise(F.lit("observed")).alias("state"), first.alias("effective_text"),
-        F.lit("unknown").alias("subject"), F.lit(False).alias("suppressed"), F.array().cast("array<string>").alias("corrections"), (F.col("doc_id") % 5).alias("sessions"),
+def _sold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    line = F.concat(F.lit("paid $"), F.format_string("%d.%02d", F.floor("o_totalprice").cast("long"), (k % 100).cast("int")), F.lit(" for model RX-"), (k % 1000).cast("string"), F.lit(" with order "), k.cast("string"))
+    return table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("atom"), F.lit("all").alias("source"), F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string"), F.lit(".example.org")).alias("site"), F.lit("visit").alias("kind"), line.alias("title"), F.lit(None).cast("string").alias("query"),
+        (as_of() - F.make_dt_interval((k % 80).cast("int"))).alias("last_seen"), F.when(k % 9 == 0, F.lit("confirmed")).otherwise(F.lit("observed")).alias("state"), line.alias("effective_text"),
+        F.lit("unknown").alias("subject"), F.lit(False).alias("suppressed"), F.array().cast("array<string>").alias("corrections"), (k % 5).alias("sessions"),
     )
-    asked = docs.where("doc_id % 100 = 0").select("doc_id", F.substring(first, 1, 80).alias("q")).orderBy("doc_id").limit(20).collect()  # the requests of one batch
-    return recall([Request(str(r.doc_id), "all", r.q) for r in asked], records, None, as_of(), ["src3.example.org"])
+
+
+@query(f"""WITH {SOLD}, st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM (SELECT len({TOK.format("title")})::DOUBLE AS dl FROM o)), f AS (SELECT o.*, len({TOK.format("title")}) AS dl FROM o WHERE NOT (site = 'c7.example.org')),
+p AS (SELECT q.k AS request_id, f.* FROM o q JOIN f ON f.k % 1000 = q.k % 1000 WHERE q.k % 20 = 0),
+lex AS (SELECT request_id, k, row_number() OVER (PARTITION BY request_id ORDER BY 2.2::DOUBLE / (1.0::DOUBLE + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) DESC, CAST(k AS VARCHAR)) AS r FROM p, st WHERE NOT confirmed QUALIFY r <= 64),
+sem AS (SELECT request_id, k, row_number() OVER (PARTITION BY request_id ORDER BY CAST(k AS VARCHAR)) AS r FROM p WHERE NOT confirmed QUALIFY r <= 64),
+con AS (SELECT request_id, k, row_number() OVER (PARTITION BY request_id ORDER BY CAST(k AS VARCHAR)) AS r FROM p WHERE confirmed QUALIFY r <= 32),
+fu AS (SELECT request_id, k, sum(1.0::DOUBLE / (60.0::DOUBLE + r)) AS s FROM (SELECT * FROM lex UNION ALL SELECT * FROM sem UNION ALL SELECT * FROM con) GROUP BY ALL),
+sc AS (SELECT p.request_id, p.k, site, row_number() OVER (PARTITION BY p.request_id ORDER BY s + (0.1::DOUBLE / 61) * (0.7::DOUBLE * pow(2.0::DOUBLE, -age / 14.0::DOUBLE) + 0.3::DOUBLE * ln(1.0::DOUBLE + least(sessions, 4)) / ln(5.0::DOUBLE)) DESC, CAST(p.k AS VARCHAR)) AS rank FROM p JOIN fu USING (request_id, k)),
+two AS (SELECT *, row_number() OVER (PARTITION BY request_id, site ORDER BY rank) AS at_site FROM sc)
+SELECT CAST(request_id AS VARCHAR) AS request_id, row_number() OVER (PARTITION BY request_id ORDER BY rank) - 1 AS position, CAST(k AS VARCHAR) AS atom, site FROM two WHERE at_site <= 2 QUALIFY position < 6""")
+def recall_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What did a model cost: packets for every order whose key is divisible by 20, over a record of each order, by all three channels.
+
+    A record's vector is that of its key's remainder by 100, and so is a request's."""
+    from ..plans.recall import recall
+
+    records, vectors = _sold(spark, sf_dir), table(spark, sf_dir, "embeddings").select((F.col("vec_id")).alias("v"), F.col("embedding").cast("array<double>").alias("vector"))
+    embedded = records.select("atom", (F.col("atom").cast("long") % 100).alias("v")).join(vectors, "v").select("atom", "vector")
+    asked = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 100).alias("v")).join(vectors, "v")
+    question = F.concat(F.lit("What did model RX-"), (F.col("k") % 1000).cast("string"), F.lit(" cost?"))
+    requests = asked.select(F.col("k").cast("string").alias("request_id"), F.lit("all").alias("source"), question.alias("query"), F.array().cast("array<string>").alias("facets"), F.array(F.lit("projects"), F.lit("research"), F.lit("confirmed_preferences")).alias("scope"), F.lit(16384).alias("max_bytes"), "vector", F.lit(None).cast("array<double>").alias("agreement"))
+    out = recall(requests, records, embedded, as_of(), ["c7.example.org"])
+    return out.select("request_id", F.col("position").cast("long").alias("position"), "atom", "site")
+
+
+@query("""WITH t AS (SELECT o_orderkey AS k, 'RX-' || (o_orderkey % 1000) AS m, 'identifier|rx' || (o_orderkey % 1000) AS i, CAST(o_orderkey % 90 + 1 AS VARCHAR) AS n, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
+SELECT k, CASE k % 8 WHEN 0 THEN i WHEN 1 THEN i || ';quantity|' || n || ':gb' WHEN 2 THEN i || ';money|dollar-symbol:' || n WHEN 3 THEN '' WHEN 4 THEN 'version|v1.' || n || '.2;date|' || day WHEN 5 THEN i WHEN 6 THEN 'money|eur:' || n || ';' || i ELSE i END AS equal,
+CASE k % 8 WHEN 3 THEN 'range|between ' || n || ' kg and 99 kg' WHEN 5 THEN 'range|over $' || n WHEN 7 THEN 'value| $' || n || ',00,0' ELSE '' END AS unsupported,
+CASE k % 8 WHEN 0 THEN 'money' WHEN 1 THEN 'quantity:data' WHEN 2 THEN 'money' WHEN 5 THEN 'money' WHEN 6 THEN 'money' WHEN 7 THEN 'money' ELSE 'research' END AS answer, k % 8 IN (2, 6) AS confirm FROM t""")
+def question_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What questions made from orders ask for: prices, quantities, decisions, ranges, malformed values."""
+    o = table(spark, sf_dir, "orders")
+    k, n, m = F.col("o_orderkey"), (F.col("o_orderkey") % 90 + 1).cast("string"), F.concat(F.lit("RX-"), (F.col("o_orderkey") % 1000).cast("string"))
+    asked = [
+        F.concat(F.lit("What did model "), m, F.lit(" cost?")), F.concat(F.lit("How much memory does "), m, F.lit(" have with "), n, F.lit(" GB?")), F.concat(F.lit("Which day did I book "), m, F.lit(" for $"), n, F.lit("?")),
+        F.concat(F.lit("Which models weigh between "), n, F.lit(" kg and 99 kg?")), F.concat(F.lit("notes on v1."), n, F.lit(".2 from "), F.date_format("o_orderdate", "yyyy-MM-dd")), F.concat(F.lit("Is "), m, F.lit(" over $"), n, F.lit("?")),
+        F.concat(F.lit("Have I paid "), n, F.lit(" EUR for "), m, F.lit("?")), F.concat(F.lit("Is "), m, F.lit(" at $"), n, F.lit(",00,0 now?")),
+    ]
+    question = F.coalesce(*[F.when(k % 8 == i, q) for i, q in enumerate(asked)])
+    r = o.select(k.alias("k"), contract.requirements_of(question).alias("r"))
+    return r.select("k", F.array_join("r.equal", ";").alias("equal"), F.array_join("r.unsupported", ";").alias("unsupported"), "r.answer", "r.confirm")

@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sites import _col
+from .sites import _col, blocked_site, valid_site
 
 # Substrings that mark a text as sensitive.
 SENSITIVE = (
@@ -37,30 +37,56 @@ STOPWORDS = (
     "welke", "pour", "les", "des", "une", "que", "quel", "quelle", "quelles", "quels", "dans", "avec", "sans", "sur", "mon", "mes",
     "aux", "est", "ces", "cette", "comment", "avais", "qué", "sobre", "investigué", "investigue", "consulté", "leí", "abrí", "página",
 )
-# Redaction patterns in their order (ASCII classes), and what stands in their place.
+# Redaction patterns in their order (classes of all scripts), and what stands in their place.
 REDACTIONS = (
-    (r"(?i)[\w.+-]+@[\w.-]+\.[a-z]{2,}", "[redacted email]"),
-    (r"(?i)(bearer\s+\S+|(?:token|password|session|secret|api[_ -]?key)\s*[:=]\s*\S+|\b[a-z0-9_-]{40,}\b)", "[redacted]"),
-    (r"\+?\d[\d ()-]{8,}\d", "[redacted number]"),
+    (r"(?iU)[\w.+-]+@[\w.-]+\.[a-z]{2,}", "[redacted email]"),
+    (r"(?iU)(bearer\s+\S+|(?:token|password|session|secret|api[_ -]?key)\s*[:=]\s*\S+|\b[a-z0-9_-]{40,}\b)", "[redacted]"),
+    (r"(?U)\+?\d[\d ()-]{8,}\d", "[redacted number]"),
 )
 ALIASES = {"airplane": "plane", "aircraft": "plane", "video": "youtube"}
 CJK = r"^[぀-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{3134f}]{2,}$"
 WORD = r"[\p{L}\p{N}]+"
 
 
-def _fold_map() -> tuple[str, str]:
-    """Latin letters with marks, and their base letters, by canonical decomposition."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
-    pairs += [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0x1E00, 0x1F00) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+def _bases() -> tuple[str, str]:
+    """Letters with marks, of every script but those that compose syllables, and their base letters, by canonical decomposition."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x2000)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and all(unicodedata.combining(x) for x in parts[1:]):
+            pairs.append((c, parts[0]))
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-FOLD_FROM, FOLD_TO = _fold_map()
+FOLD_FROM, FOLD_TO = _bases()
+
+
+def _compatible() -> tuple[str, str, dict[str, str]]:
+    """Compatibility characters: those that stand for one other character and these, and those that stand for several."""
+    one, many = {}, {}
+    for c in (chr(i) for i in range(0xA0, 0x30000) if not 0xD800 <= i < 0xE000):
+        plain = unicodedata.normalize("NFKC", c)
+        if plain != c:
+            (one if len(plain) == 1 else many)[c] = plain
+    return "".join(one), "".join(one.values()), many
+
+
+WIDE_FROM, WIDE_TO, WIDE_MANY = _compatible()
+
+
+def compatible(text: Column | str) -> Column:
+    """The text in compatibility form: full-width letters and digits, styled letters, ligatures and the like as the plain
+    characters that they stand for. Native; marks that stand apart from their letter stay so."""
+    plain = F.translate(_col(text), WIDE_FROM, WIDE_TO)
+    several = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WIDE_MANY) + "]"
+    meaning = F.map_from_arrays(F.lit(list(WIDE_MANY)), F.lit(list(WIDE_MANY.values())))
+    spelt = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(meaning, c), c)), "")
+    return F.when(plain.rlike(several), spelt).otherwise(plain)
 
 
 def fold(text: Column | str) -> Column:
     """Lower case without diacritics."""
-    return F.translate(F.regexp_replace(F.lower(_col(text)), r"[̀-ͯ]", ""), FOLD_FROM, FOLD_TO)
+    return F.translate(F.regexp_replace(F.lower(_col(text)), r"[\x{300}-\x{36f}]", ""), FOLD_FROM, FOLD_TO)
 
 
 def tokens(text: Column | str) -> Column:
@@ -68,9 +94,13 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(_col(text), F.lit(""))), F.lit(f"({WORD})"))
 
 
+#: The stop words as tokens are.
+STOP_FOLDED = sorted({"".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)) for w in STOPWORDS})
+
+
 def query_terms(text: Column | str, most: int = 32) -> Column:
     """Distinct tokens in order of first use, without stop words and single letters, at most ``most``."""
-    stop = F.array(*[F.lit(w) for w in sorted({"".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)) for w in STOPWORDS})])
+    stop = F.array(*[F.lit(w) for w in STOP_FOLDED])
     useful = F.filter(tokens(text), lambda t: ((F.length(t) >= 2) | t.rlike(r"^\d+$")) & ~F.array_contains(stop, t))
     return F.slice(F.array_distinct(useful), 1, most)
 
@@ -99,8 +129,8 @@ def sensitive(text: Column | str) -> Column:
 
 
 def redact(text: Column | str, most: int | None = None) -> Column:
-    """Control characters out, e-mails, secrets and phone numbers replaced in that order, cut, trimmed."""
-    out = F.regexp_replace(_col(text), r"[\x00-\x1f\x7f-\x{9f}]", "")
+    """Compatibility form, control characters out, e-mails, secrets and phone numbers replaced in that order, cut, trimmed."""
+    out = F.regexp_replace(compatible(text), r"[\x00-\x1f\x7f-\x{9f}]", "")
     for pattern, stand_in in REDACTIONS:
         out = F.regexp_replace(out, pattern, stand_in)
     return F.trim(out if most is None else F.substring(out, 1, most))
@@ -167,3 +197,17 @@ def search_term(url: Column | str) -> Column:
     values = F.filter(F.split(query, "&"), lambda kv: F.split_part(kv, F.lit("="), F.lit(1)) == param)
     value = F.try_url_decode(F.regexp_replace(F.element_at(values, 1), r"^[^=]*=?", ""))
     return F.when(F.size(values) == 1, F.nullif(redact(value, 512), F.lit("")))
+
+
+def sanitized(url: Column | str, title: Column | str, allowed: Column, private: Column | None = None) -> Column:
+    """struct(site, title, query, kind) of a tab, null where nothing may be kept of it: no http(s) address, credentials in
+    it, a site that is not valid or is blocked or not ``allowed``, a private path, a sensitive title or search, more than
+    2048 bytes of them, or a ``private`` window."""
+    url = _col(url)
+    site, path, _ = url_parts(url)
+    clean, asked = redact(F.coalesce(_col(title), F.lit("")), 256), search_term(url)
+    credentials = F.regexp_extract(url, r"^[^:]+://([^/?#]*)", 1).contains("@")
+    refused = credentials | ~valid_site(site) | blocked_site(site) | path.rlike(PRIVATE_PATH) | ~allowed | sensitive(clean) | F.coalesce(sensitive(asked), F.lit(False))
+    refused = refused | (F.octet_length(F.concat(clean, F.coalesce(asked, F.lit("")))) > 2048) | F.coalesce(F.lit(False) if private is None else private, F.lit(False))
+    kept = F.struct(site.alias("site"), clean.alias("title"), asked.alias("query"), F.when(asked.isNotNull(), F.lit("search")).otherwise(F.lit("visit")).alias("kind"))
+    return F.when(site.isNotNull() & ~refused, kept)

@@ -105,10 +105,10 @@ def fold_activity(events: DataFrame, salt: str = "", d: Defaults = DEFAULTS) ->
 
 def within_capacity(records: DataFrame, existing: DataFrame, most: int, order: str = "first_seen") -> DataFrame:
     """records with ``full``: new ones beyond the capacity that the existing ones leave, by arrival."""
-    new = records.join(existing.select("atom"), "atom", "left_anti")
-    room = existing.agg((F.lit(most) - F.count("*")).alias("room"))
-    ranked = new.withColumn("n", F.row_number().over(Window.orderBy(order, "atom")))
-    over = ranked.crossJoin(F.broadcast(room)).where(F.col("n") > F.col("room")).select("atom", F.lit(True).alias("full"))  # one row
+    room = max(0, most - existing.count())
+    new = records.join(existing.select("atom"), "atom", "left_anti").select("atom", order)
+    first = new.orderBy(order, "atom").limit(room).select("atom")  # each partition sends on no more than the room
+    over = new.join(first, "atom", "left_anti").select("atom", F.lit(True).alias("full"))
     return records.join(over, "atom", "left").withColumn("full", F.coalesce("full", F.lit(False)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,59 +24,78 @@ def topic_id(model: str, atom: str, n: int = 0) -> str:
     return str(uuid.UUID(bytes=bytes(raw)))
 
 
+class Fold:
+    """The topics of one vault so far."""
+
+    def __init__(self, vault: str | None, model: str, d: Defaults):
+        self.vault, self.model, self.d = vault, model, d
+        self.names: list[str] = []
+        # for each topic: mass and weighted sum of each (site, session), and their capped sum
+        self.cells: list[dict[tuple, list]] = []
+        self.sums: list[np.ndarray] = []
+
+    def add(self, own: list) -> list[tuple]:
+        """Take in a record, given by its activity windows; its rows of ``ASSIGNED``."""
+        d, atom, v = self.d, own[0].atom, np.asarray(own[0].vector, np.float64)
+        length = np.sqrt((v**2).sum())
+        if not np.isfinite(v).all() or length < 1e-12:
+            return []
+        v = v / length
+        scores = []
+        for k, total in enumerate(self.sums):
+            size = np.sqrt((total**2).sum())
+            if size >= 1e-12:
+                scores.append((-float(total @ v) / size, self.names[k], k))
+        best = [(-s, k) for s, _, k in sorted(scores)[:2]]
+        if best and best[0][0] >= d.topic_admission:
+            if len(best) == 2 and best[0][0] - best[1][0] < d.topic_margin and best[1][0] >= d.runner_up_admission:
+                e = np.exp([d.softmax_factor * s for s, _ in best])
+                share = [(best[0][1], float(e[0] / e.sum())), (best[1][1], float(e[1] / e.sum()))]
+            else:
+                share = [(best[0][1], 1.0)]
+        elif len(self.names) < d.max_topics:
+            self.names.append(topic_id(self.model, atom))
+            self.cells.append({})
+            self.sums.append(np.zeros(len(v)))
+            share = [(len(self.names) - 1, 1.0)]
+        else:
+            return [(self.vault, atom, None, 0.0, True)]
+        for k, mass in share:
+            for r in own:
+                cell = self.cells[k].setdefault((r.site, r.session), [0.0, np.zeros(len(v))])
+                before = cell[1] * (min(cell[0], 1.0) / cell[0]) if cell[0] else cell[1]
+                cell[0] += r.mass * mass
+                cell[1] = cell[1] + r.mass * mass * v
+                self.sums[k] = self.sums[k] - before + cell[1] * (min(cell[0], 1.0) / cell[0])
+        return [(self.vault, atom, self.names[k], mass, False) for k, mass in share]
+
+
 def assign(rows: DataFrame, model: str, d: Defaults = DEFAULTS) -> DataFrame:
     """Soft topics of every record, in the order (first_seen, atom) of its vault.
 
     rows: (vault, atom, first_seen, site, session, mass, vector), one for each activity window of a record. Each record is compared with the
     centroids so far and joins the best, is shared between two close ones, founds a topic, or is skipped when the vault
-    is full. The result depends on the order by definition, so a vault is one sequential fold; state is bounded by
-    ``max_topics`` centroids, and vaults run in parallel."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        names: list[str] = []
-        # for each topic: mass and weighted sum of each (site, session), and their capped sum
-        cells: list[dict[tuple, list]] = []
-        sums: list[np.ndarray] = []
-        pdf = pdf.sort_values(["first_seen", "atom", "site", "session"])
-        for (_, atom), own in pdf.groupby(["first_seen", "atom"], sort=True):
-            v = np.asarray(own["vector"].iloc[0], np.float64)
-            length = np.sqrt((v**2).sum())
-            if not np.isfinite(v).all() or length < 1e-12:
-                continue
-            v = v / length
-            scores = []
-            for k, total in enumerate(sums):
-                size = np.sqrt((total**2).sum())
-                if size >= 1e-12:
-                    scores.append((-float(total @ v) / size, names[k], k))
-            scores.sort()
-            best = [(-s, k) for s, _, k in scores[:2]]
-            if best and best[0][0] >= d.topic_admission:
-                if len(best) == 2 and best[0][0] - best[1][0] < d.topic_margin and best[1][0] >= d.runner_up_admission:
-                    e = np.exp([d.softmax_factor * s for s, _ in best])
-                    share = [(best[0][1], float(e[0] / e.sum())), (best[1][1], float(e[1] / e.sum()))]
-                else:
-                    share = [(best[0][1], 1.0)]
-            elif len(names) < d.max_topics:
-                names.append(topic_id(model, atom))
-                cells.append({})
-                sums.append(np.zeros(len(v)))
-                share = [(len(names) - 1, 1.0)]
-            else:
-                out.append((pdf["vault"].iloc[0], atom, None, 0.0, True))
-                continue
-            for k, mass in share:
-                out.append((pdf["vault"].iloc[0], atom, names[k], mass, False))
-                for site, session, m in zip(own["site"], own["session"], own["mass"]):
-                    cell = cells[k].setdefault((site, session), [0.0, np.zeros(len(v))])
-                    before = cell[1] * (min(cell[0], 1.0) / cell[0]) if cell[0] else cell[1]
-                    cell[0] += m * mass
-                    cell[1] = cell[1] + m * mass * v
-                    sums[k] = sums[k] - before + cell[1] * (min(cell[0], 1.0) / cell[0])
-        return pd.DataFrame(out, columns=["vault", "atom", "topic", "mass", "skipped"])
-
-    return rows.groupBy("vault").applyInPandas(run, ASSIGNED)
+    is full. The result depends on the order by definition, so a vault is one sequential fold. Vaults are dealt out and
+    sorted by Spark and read in batches; a task holds a batch, ``max_topics`` centroids and the sums of their (site, session) cells."""
+    names = ["vault", "atom", "topic", "mass", "skipped"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold, held = None, []
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.itertuples(index=False):
+                if held and (r.vault, r.first_seen, r.atom) != (held[0].vault, held[0].first_seen, held[0].atom):
+                    out += fold.add(held)
+                    held = []
+                if fold is None or fold.vault != r.vault:
+                    fold = Fold(r.vault, model, d)
+                held.append(r)
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(fold.add(held), columns=names)
+
+    order = ["vault", "first_seen", "atom", "site", "session"]
+    return rows.select(*order, "mass", "vector").repartition("vault").sortWithinPartitions(*order).mapInPandas(run, ASSIGNED)
 
 
 def centroids(membership: DataFrame, activity: DataFrame, embedded: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ payload groups, packet. Questions with a range or a malformed value get no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -71,15 +72,36 @@ def plan(request: Request) -> list[RecallPlan]:
     return out
 
 
-def plans_frame(spark: SparkSession, plans: list[RecallPlan]) -> DataFrame:
-    """Plans as a small DataFrame (a row for each arm) with terms made by the corpus's tokeniser."""
-    rows = [
-        (f"{p.request.request_id}#{p.arm}", p.request.request_id, p.request.source, p.arm, p.all_arms, contract.canonical_identifiers(p.text), " ".join((contract.canonical_identifiers(p.text), *[contract.canonical_identifiers(f) for f in p.facets])),
-         p.unsupported, p.answer, p.confirm, list(p.acronyms), list(p.facets), [f"{k}|{v}" for k, v in p.equal], p.request.query, p.request.max_bytes, list(p.request.scope), list(p.request.vector) if p.request.vector else None)
-        for p in plans
-    ]
-    kind = "plan_id string, request_id string, source string, arm int, all_arms int, main string, wide string, unsupported boolean, answer string, confirm boolean, acronyms array<string>, facets array<string>, equal array<string>, question string, max_bytes int, scope array<string>, vector array<double>"
-    df = spark.createDataFrame(rows, kind)
+REQUEST = "request_id string, source string, query string, facets array<string>, scope array<string>, max_bytes int, vector array<double>, agreement array<double>"
+PLAN = "plan_id string, request_id string, source string, arm int, all_arms int, main string, wide string, unsupported boolean, answer string, confirm boolean, acronyms array<string>, facets array<string>, equal array<string>, question string, max_bytes int, scope array<string>, vector array<double>, way_source string, way_target string"
+
+
+def requests_frame(spark: SparkSession, requests: list[Request]) -> DataFrame:
+    for r in requests:
+        r.validate()
+    rows = [(r.request_id, r.source, r.query, list(r.facets), list(r.scope), r.max_bytes, list(r.vector) if r.vector else None, list(r.agreement) or None) for r in requests]
+    return spark.createDataFrame(rows, REQUEST)
+
+
+def plans_frame(requests: DataFrame) -> DataFrame:
+    """Plans of a table of requests (``REQUEST``), a row for each arm, with terms made by the corpus's tokeniser. The questions
+    are read in Arrow batches on the executors. Requests outside their limits get no plan."""
+    within = (F.char_length("query") <= 512) & (F.size("facets") <= 3) & F.forall("facets", lambda f: F.char_length(f) <= 128) & F.col("max_bytes").between(512, 16384) & (F.size(F.array_except("scope", F.array(*[F.lit(x) for x in SCOPES]))) == 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in PLAN.split(", ")]
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                agreed = () if r.agreement is None else tuple(None if x != x else x for x in r.agreement)
+                for p in plan(Request(r.request_id, r.source, r.query, tuple(r.facets), tuple(r.scope), int(r.max_bytes), agreement=agreed)):
+                    wide = " ".join(contract.canonical_identifiers(x) for x in (p.text, *p.facets))
+                    way = p.direction
+                    rows.append((f"{r.request_id}#{p.arm}", r.request_id, r.source, p.arm, p.all_arms, contract.canonical_identifiers(p.text), wide, p.unsupported, p.answer, p.confirm, list(p.acronyms), list(p.facets),
+                                 [f"{k}|{v}" for k, v in p.equal], r.query, r.max_bytes, r.scope, r.vector, way.source if way else None, way.target if way else None))
+            yield pd.DataFrame(rows, columns=names)
+
+    df = requests.where(within).select(*[c.split()[0] for c in REQUEST.split(", ")]).mapInPandas(run, PLAN)
     return df.withColumns({"main_terms": text.query_terms("main"), "terms": text.query_terms("wide")})
 
 
@@ -114,10 +136,8 @@ def evidence(records: DataFrame, as_of: Column, d: Defaults = DEFAULTS) -> DataF
     }).withColumn("content", F.array_union("content", F.transform(F.filter("values", lambda v: v.startswith("identifier|")), lambda v: F.substring(v, F.lit(12), F.length(v)))))
 
 
-def eligible(rows: DataFrame, plans: DataFrame) -> DataFrame:
-    """(plan_id, evidence columns): rows that pass every hard check of a plan."""
-    asked = plans.where("not unsupported and size(main_terms) > 0").withColumnRenamed("source", "p_source")
-    pairs = rows.crossJoin(F.broadcast(asked)).where(F.col("source") == F.col("p_source"))  # plans: a few rows of one batch of requests
+def checked() -> Column:
+    """Whether evidence passes every hard check of a plan; over columns of both."""
     observed = F.col("state") == "observed"
     scope = F.when(observed, F.arrays_overlap("scope", F.array(F.lit("research"), F.lit("projects")))).otherwise(F.array_contains("scope", "confirmed_preferences"))
     exact = F.size(F.array_except("equal", "values")) == 0
@@ -125,27 +145,33 @@ def eligible(rows: DataFrame, plans: DataFrame) -> DataFrame:
     named = F.forall("acronyms", lambda a: F.contains(F.when(observed, F.col("held")).otherwise(F.col("raw")), a))
     bare = F.lower("question").rlike("|".join(contract.EXPLAIN_PHRASES)) & (F.size(F.filter("values", lambda v: ~v.startswith("answer|") & ~v.startswith("direction|"))) == 1) & F.exists("values", lambda v: v.endswith(F.concat(F.lit("|"), F.col("raw"))))
     useless = observed & (F.col("confirm") | (F.col("plain") & ~F.exists("values", lambda v: ~v.startswith("answer|") & ~v.startswith("direction|")))) | (observed & F.col("query").isNull() & text.generic_title("title"))
-    return pairs.where(scope & exact & answer & named & ~bare & ~useless)
+    return scope & exact & answer & named & ~bare & ~useless
 
 
-def recall(requests: list[Request], records: DataFrame, embedded: DataFrame | None, as_of: Column, excluded: list[str] | None = None, d: Defaults = DEFAULTS) -> DataFrame:
-    """Packets of a batch of requests. records: effective rows with ``sessions``; embedded: (atom, vector).
+def recall(requests: list[Request] | DataFrame, records: DataFrame, embedded: DataFrame | None, as_of: Column, excluded: list[str] | None = None, d: Defaults = DEFAULTS) -> DataFrame:
+    """Packets of a batch of requests: a list, or a table (``REQUEST``). records: effective rows with ``sessions``; embedded:
+    (atom, vector).
 
-    Excluded sites and retention are filters on the records' columns, so they reach the scan."""
-    spark = records.sparkSession
-    plans = plans_frame(spark, [p for r in requests for p in plan(r)])
+    The channels propose (plan, record) pairs by equi-joins on terms, by similarity and among confirmed records; only these
+    are joined with evidence and plans for the hard checks. Excluded sites and retention are filters on the records'
+    columns, so they reach the scan."""
+    if not isinstance(requests, DataFrame):
+        requests = requests_frame(records.sparkSession, requests)
+    plans = plans_frame(requests).where("not unsupported and size(main_terms) > 0")
     rows = evidence(records.where(sites.site_policy("site", excluded or [])), as_of, d)
-    pool = eligible(rows, plans).withColumn("cover", text.coverage(F.col("main_terms"), F.col("content")))
     asked = plans.select(F.col("plan_id").alias("request_id"), F.col("terms"))
     # corpus statistics are over all records, before any filter
     lexical = search.bm25(records.withColumn("fts", F.concat_ws(" ", "title", "query")), asked, "atom", "fts", d).select(F.col("request_id").alias("plan_id"), F.col("doc").alias("atom"), F.col("score").alias("bm25"))
-    pool = pool.join(lexical, ["plan_id", "atom"], "left")
     if embedded is not None:
-        vectors = plans.where("vector is not null").select(F.col("plan_id").alias("request_id"), "vector")
-        cos = search.cosine_scores(embedded, vectors, "atom", "vector", None, d).select(F.col("request_id").alias("plan_id"), F.col("doc").alias("atom"), "cosine")
-        pool = pool.join(cos, ["plan_id", "atom"], "left")
+        wanted = plans.where("vector is not null").select(F.col("plan_id").alias("request_id"), "vector")
+        cos = search.cosine_scores(embedded, wanted, "atom", "vector", None, d).where(F.col("cosine") >= d.semantic_admission).select(F.col("request_id").alias("plan_id"), F.col("doc").alias("atom"), "cosine")
+        pairs = lexical.join(cos, ["plan_id", "atom"], "full")
     else:
-        pool = pool.withColumn("cosine", F.lit(None).cast("double"))
+        pairs = lexical.withColumn("cosine", F.lit(None).cast("double"))
+    own = rows.withColumnRenamed("source", "r_source")
+    observed_pairs = pairs.join(own.where("state = 'observed'"), "atom").join(plans, "plan_id").where("r_source = source")
+    confirmed_pairs = own.where("state = 'confirmed'").join(plans, F.col("r_source") == F.col("source")).withColumns({"bm25": F.lit(None).cast("double"), "cosine": F.lit(None).cast("double")})
+    pool = observed_pairs.unionByName(confirmed_pairs).where(checked()).withColumn("cover", text.coverage(F.col("main_terms"), F.col("content")))
     facet = F.exists("facets", lambda f: (F.length(text.compact(f)) >= 3) & F.contains(F.col("raw"), text.compact(f)))
     good = search.admitted(F.col("bm25").isNotNull(), F.col("cover.coverage"), F.col("cosine"), facet, F.size("main_terms") > 0, d)
     observed, confirmed = pool.where("state = 'observed'").where(good), pool.where("state = 'confirmed'").where((F.col("cover.matched") > 0) & (F.col("cover.coverage") >= d.lexical_coverage))
@@ -159,15 +185,12 @@ def recall(requests: list[Request], records: DataFrame, embedded: DataFrame | No
     merged = lanes.groupBy("request_id", "channel", "atom").agg(F.min("r").alias("best"), F.bit_or("arm").alias("arms"))
     ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("request_id", "channel").orderBy("best", "atom")))
     fused = ranked.groupBy("request_id", "atom").agg(F.sum(1.0 / (F.lit(float(d.rrf_offset)) + F.col("rank"))).alias("score"), F.bit_or("arms").alias("arms"))
-    full = fused.join(rows.drop("source"), "atom").join(plans.select("request_id", "question", "max_bytes", "all_arms").distinct(), "request_id")
+    ways = plans.select("request_id", "max_bytes", "all_arms", "way_source", "way_target").distinct()  # the arms of a request agree in these
+    full = fused.join(rows.drop("source"), "atom").join(ways, "request_id")
     age = (F.unix_timestamp(as_of) - F.unix_timestamp("last_seen")) / F.lit(86400.0)
     full = full.withColumn("score", F.col("score") + search.temporal_bonus(age, F.col("sessions"), d))
-    ways = {r.request_id: contract.direction(r.query) for r in requests}
-    relation = F.lit(1)
-    for rid, way in ways.items():
-        if way:
-            one = F.when(F.array_contains("values", f"direction|{way.source}|{way.target}"), F.lit(0)).when(F.array_contains("values", f"direction|{way.target}|{way.source}"), F.lit(2)).otherwise(F.lit(1))
-            relation = F.when(F.col("request_id") == rid, one).otherwise(relation)
+    way = lambda a, b: F.coalesce(F.array_contains("values", F.concat(F.lit("direction|"), a, F.lit("|"), b)), F.lit(False))
+    relation = F.when(way(F.col("way_source"), F.col("way_target")), 0).when(way(F.col("way_target"), F.col("way_source")), 2).otherwise(1)
     ordered = full.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(relation, F.desc("score"), "atom")))
     grouped = search.payload_groups(ordered.withColumn("doc", F.col("atom")), ["kind", "state", "subject", "title", "query"])
     return packet.select(packet.formatted(grouped).select("request_id", "atom", "site", "record", "rank", "group_rank", "arms", "all_arms", "max_bytes"), d)

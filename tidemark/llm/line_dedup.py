@@ -6,7 +6,7 @@ lines are left alone. A line is cut into edits + 1 segments; two lines
 within that distance agree in one of them, at nearly the same place. So every line probes, for each length it may meet,
 the substrings at which that length's segments can lie (the multi-match-aware windows). Keys are (length, segment,
 content); a line's own segments are among its probes. Members of a key are compared by the parity of their character
-pairs (an edit flips at most four bits of it), which only drops pairs that are too far apart; what stays connected
+pairs of bytes (an edit of one code point flips at most ten bits of it), which only drops pairs that are too far apart; what stays connected
 are candidate clusters, verified by a banded bit-parallel edit distance.
 
 Defined results: a null text has no lines and stays null; the newlines between kept lines stay; equal lines are

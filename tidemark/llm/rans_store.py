@@ -2,11 +2,12 @@
 
 Documents are ordered by id into contiguous shards, each a row group of frames. A frame holds some million ids:
 a frequency table that all its blocks share, and blocks that are coded independently, each by ``LANES`` interleaved
-states; a directory gives every block's place, first id and checksum, so blocks can be decoded alone, in parallel, or
-checked without the others. Frames are rows of a Parquet file (shard, frame, first, last, n_docs, n_ids, data).
+states; a directory gives every block's place, size and checksum, so blocks can be decoded alone, in parallel, or
+checked without the others. Block b holds the ids from b * ``BLOCK`` on: its begin is the checkpoint from which decoding
+can start, and there is none inside a block. Frames are rows of a Parquet file (shard, frame, first, last, n_docs, n_ids, data).
 
 Frame, little-endian: magic, u32 counts (docs, ids, symbols, blocks), symbols u32[], frequencies u32[], ids of the
-documents i64[], their lengths u32[], directory of the blocks (place u32[], words u32[], crc32 u32[]), the blocks: 64-bit
+documents i64[], their lengths u32[], directory of the blocks (place u32[], bytes u32[], crc32 u32[]), the blocks: 64-bit
 end states of the lanes, then 32-bit words.
 
 Defined results: a null or empty text is the end id alone; rows without an id are left out; rows with the same id

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import candidate_edges, components, exact_links
 from .hashing import U, Words, mix, slices
-from .shared import maybe_in, reclaim, stage
+from .shared import maybe_in, reclaim, stage, unpacked, whole_row
 
 EDITS, LEAST = 2, 30
 
@@ -223,22 +223,30 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone
 
 
-def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with the text of each row without its repeated lines; and _n_lines, _n_removed."""
-    marks = gone.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("gone").alias("_gone"))
-    lines, text = F.split(text_col, "\n"), F.col(text_col)
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: ~F.array_contains("_gone", x.i)).t, "\n")
-    plain = docs.withColumns({"_gone": F.lit(None).cast("array<int>")})
-    if not gone.isEmpty():
-        some = maybe_in(gone, "doc_id")(docs, id_col, "_some")
-        hit = some.where("_some").join(marks, (F.col(id_col).cast("long") == F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_tag")), "left")
-        plain = hit.select(*[F.col(c) for c in docs.columns], "_gone").unionByName(some.where("not _some").select(*[F.col(c) for c in docs.columns], F.lit(None).cast("array<int>").alias("_gone")))
-    out = plain.withColumns({"_n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "_n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text_col: F.when(F.col("_gone").isNull(), text).otherwise(kept)})
-    return out.select(*[F.col(c) for c in docs.columns], "_n_lines", "_n_removed")
+def _edited(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text, n_lines, n_removed): each row of docs as it is, and its text without its repeated lines."""
+    text = F.col("row").getField(text_col).cast("string")  # from the packed row, so that it travels once
+    keyed = docs.select(whole_row(docs).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    lines = F.split(text, "\n")
+    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: ~F.array_contains("gone", x.i)).t, "\n")
+    marked = maybe_in(gone, "doc_id")(keyed, "id", "some")
+    marks = gone.select(F.col("doc_id").alias("g_id"), F.col("tag").alias("g_tag"), "gone")
+    hit = marked.where("some").join(marks, (F.col("id") == F.col("g_id")) & (F.xxhash64(text) == F.col("g_tag")), "left").select("row", "id", "gone")
+    plain = hit.unionByName(marked.where("not some").select("row", "id", F.lit(None).cast("array<int>").alias("gone")))
+    counts = [F.coalesce(F.size(c), F.lit(0)).cast("long").alias(n) for c, n in ((lines, "n_lines"), (F.col("gone"), "n_removed"))]
+    return plain.select("row", "id", F.when(F.col("gone").isNull(), text).otherwise(kept).alias("text"), *counts)
+
+
+def without_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs, all columns, with the text of each row without its repeated lines; ``length_col`` follows in code points."""
+    changed = {text_col: F.col("text")}
+    if length_col in docs.columns:
+        changed[length_col] = F.length("text").cast("long")
+    return unpacked(_edited(docs, gone, id_col, text_col), "row", docs.columns, **changed)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_text): every row without the lines that repeat an earlier one."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    out = without_lines(rows, repeated_lines(rows, **options))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("text").alias("kept_text"))
+    out = _edited(rows, repeated_lines(rows, **options), "doc_id", "text")
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.col("text").alias("kept_text"))

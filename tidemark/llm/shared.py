@@ -9,7 +9,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import give_back
@@ -116,10 +116,21 @@ def maybe_in(ids: DataFrame, column: str) -> Callable[[DataFrame, str, str], Dat
     return mark
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, so that no name of theirs clashes with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unpacked(df: DataFrame, row: str, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of a packed row again, some of them changed."""
+    return df.select(*[changed.get(c, F.col(row).getField(c)).alias(c) for c in columns])
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs, all columns, without the rows whose id is in ids.doc_id. Only rows that may be affected are joined, so the
     other texts are not shuffled. Rows without an id stay."""
-    marked = maybe_in(ids, "doc_id")(docs, id_col, "_some")
-    gone = ids.select(F.col("doc_id").cast("long").alias("_gone")).distinct()
-    some = marked.where("_some").join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    return some.unionByName(marked.where("not _some")).select(*[F.col(c) for c in docs.columns])
+    keyed = docs.select(whole_row(docs).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    marked = maybe_in(ids, "doc_id")(keyed, "id", "some")
+    gone = ids.select(F.col("doc_id").cast("long").alias("gone")).distinct()
+    some = marked.where("some").join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return unpacked(some.unionByName(marked.where("not some")), "row", docs.columns)

@@ -1,7 +1,10 @@
 """A corpus through five stages: quality classifier, line dedup, near-duplicates, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-``documents``. Results are written as Parquet between stages.
+``documents``, whatever these are. Results are written as Parquet between stages.
+
+Defined results: rows without an id pass unread until the last stage, which packs rows with an id only; an empty table
+gives an empty result at each stage; columns with names that the operators use themselves come back as they were.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's threshold."""
+    """Documents whose perplexity is within their language's threshold. Null and empty texts go; of rows with one id all go
+    if one does; without trusted labels all other texts stay."""
     reclaim(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rejected = classify(docs, labels).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
@@ -31,28 +35,29 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one; n_chars follows the text."""
+    """Documents without lines that repeat an earlier one; n_chars follows the text. A null text stays null, one that has lost
+    all its lines is empty, and exactly repeated rows are one document and stay alike."""
     reclaim(spark)
-    out = without_lines(docs, repeated_lines(docs, short=True))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return without_lines(docs, repeated_lines(docs, short=True), length_col="n_chars")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near-duplicates (five-word shingles, 0.8 or more)."""
+    """One document, that of the least id, of each group of near-duplicates (five-word shingles, 0.8 or more). Texts without
+    words stay; rows with the id that stays all do."""
     reclaim(spark)
     copies = near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id")
     return without_ids(docs, stage(copies, "copies"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts stay; a null or empty item is held by none."""
     reclaim(spark)
     leaks = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return without_ids(docs, leaks)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 1024 tokens."""
+    """Pieces of the documents and their places in sequences of 1024 tokens. A null text is empty: one piece, the end id."""
     reclaim(spark)
     return pack(docs, public_tokenizers.path(TOKENIZER), cached=200_000)  # workers still hold what earlier stages loaded
 

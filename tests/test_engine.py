@@ -271,6 +271,22 @@ def test_recall_direction_and_comparison(library):
     assert set(ask(library, "Compare RX-100 and RX200 camera")) == {"r1", "r2"}
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Ties, empty vectors and several blocks of requests give what all pairs give."""
+    import numpy as np
+
+    monkeypatch.setattr(search, "REQUEST_BYTES", 400)
+    monkeypatch.setattr(search, "DOCS_AT_ONCE", 7)
+    rng = np.random.default_rng(5)
+    v = {i: rng.integers(-2, 3, 4).astype(float).tolist() for i in range(90)}
+    df = spark.createDataFrame([(i, x) for i, x in v.items()], "i long, x array<double>").repartition(3)
+    got = search.nearest(df, df.where("i % 4 = 0").select(F.col("i").alias("request_id"), F.col("x").alias("vector")), "i", "x", 5).collect()
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, x in v.items() if any(x)}
+    want = {(i, j) for i in unit if i % 4 == 0 for _, j in sorted((-round(float(unit[i] @ unit[j]), 9), j) for j in unit)[:5]}
+    assert {(r.request_id, r.doc) for r in got} == want
+    assert search.nearest(df.limit(0), df.select(F.col("i").alias("request_id"), F.col("x").alias("vector")), "i", "x", 5).count() == 0
+
+
 def test_compatibility_forms(spark):
     import unicodedata
 

@@ -19,7 +19,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 64 nearest of all vectors to each vector whose id is divisible by 20."""
     e = table(spark, sf_dir, "embeddings")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("vector"))
-    scored = search.cosine_scores(e, asked, "vec_id", "embedding")
+    scored = search.nearest(e, asked, "vec_id", "embedding", 64)
     ranked = search.channel(scored, 64, "semantic").join(scored, ["request_id", "doc"])
     return ranked.select(F.col("request_id").alias("query_id"), "doc", F.col("rank").cast("long").alias("place"), r6("cosine").alias("cosine"))
 

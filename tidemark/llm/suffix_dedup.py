@@ -177,12 +177,12 @@ def segments(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
 def grouped(some: DataFrame, group: int = GROUP) -> DataFrame:
     """Segments with a group each: by the shortest prefix that at most ``group`` segments share, or the longest there is.
     ``heavy``: more than ``group`` segments share that one too."""
-    last, within, marked = len(PREFIXES) - 1, some, some
+    last, marked, heavy = len(PREFIXES) - 1, some, F.lit(True)
     # a level has at most (segments / group) heavy prefixes
     small = F.broadcast if some.count() // group <= LISTED else lambda df: df
-    for k in range(last + 1):
-        many = stage(within.groupBy(f"p{k}").agg(F.count("*").alias("c")).where(F.col("c") > group).select(f"p{k}", F.lit(True).alias(f"h{k}")), "heavy")
-        marked, within = marked.join(small(many), f"p{k}", "left"), within.join(small(many), f"p{k}", "left_semi")
+    for k in range(last + 1):  # of what is heavy so far, the prefixes that are heavy at this length too; all else is one null
+        many = stage(marked.groupBy(F.when(heavy, F.col(f"p{k}")).alias(f"p{k}")).agg(F.count("*").alias("c")).where(F.col("c") > group).select(f"p{k}", F.lit(True).alias(f"h{k}")), "heavy")
+        marked, heavy = marked.join(small(many), f"p{k}", "left"), F.col(f"h{k}").isNotNull()
     key = F.col(f"p{last}")
     for k in range(last - 1, -1, -1):
         key = F.when(F.col(f"h{k}").isNull(), F.col(f"p{k}")).otherwise(key)
@@ -353,7 +353,7 @@ def repeats(some: DataFrame, n: int, group: int = GROUP, segments_: int = SEGMEN
     dealt = grouped(loose, group)
     heavy = dealt.where("heavy")
     light = dealt.where("not heavy").drop("heavy").withColumn("group", F.pmod(F.xxhash64("prefix"), F.lit(groups)))
-    trees = light.groupBy("group").applyInArrow(grow, kind)
+    trees = light.repartition(groups, "group").groupBy("group").applyInArrow(grow, kind)  # about a group a task
     known = some.where("covered").select("doc_id", "tag", "begin", "windows")
     if not heavy.isEmpty():
         known = known.unionByName(heavy_repeats(heavy, n))

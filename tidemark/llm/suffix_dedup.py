@@ -39,7 +39,7 @@ ANCHOR, GROUP, SEGMENTS = 5, 25_000, 40_000
 #: The lengths that prefixes grow through.
 PREFIXES = (1, 2, 4, ANCHOR)
 #: Heavy prefixes of a level that are broadcast; more are joined.
-LISTED = 100_000
+LISTED = 1_000_000
 
 
 def anchors(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -177,17 +177,30 @@ def segments(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
 def grouped(some: DataFrame, group: int = GROUP) -> DataFrame:
     """Segments with a group each: by the shortest prefix that at most ``group`` segments share, or the longest there is.
     ``heavy``: more than ``group`` segments share that one too."""
-    last, marked, heavy = len(PREFIXES) - 1, some, F.lit(True)
+    spark, last = some.sparkSession, len(PREFIXES) - 1
+    kept = ["doc_id", "tag", "begin", "windows", "words"]
     # a level has at most (segments / group) heavy prefixes
-    small = F.broadcast if some.count() // group <= LISTED else lambda df: df
-    for k in range(last + 1):  # of what is heavy so far, the prefixes that are heavy at this length too; all else is one null
-        many = stage(marked.groupBy(F.when(heavy, F.col(f"p{k}")).alias(f"p{k}")).agg(F.count("*").alias("c")).where(F.col("c") > group).select(f"p{k}", F.lit(True).alias(f"h{k}")), "heavy")
-        marked, heavy = marked.join(small(many), f"p{k}", "left"), F.col(f"h{k}").isNotNull()
-    key = F.col(f"p{last}")
-    for k in range(last - 1, -1, -1):
-        key = F.when(F.col(f"h{k}").isNull(), F.col(f"p{k}")).otherwise(key)
-    # a prefix is heavy only if those shorter are
-    return marked.select("doc_id", "tag", "begin", "windows", "words", key.alias("prefix"), F.col(f"h{last}").isNotNull().alias("heavy"))
+    many = [stage(some.groupBy(f"p{k}").agg(F.count("*").alias("c")).where(F.col("c") > group).select(f"p{k}", F.lit(True).alias(f"h{k}")), "heavy") for k in range(last + 1)]
+    if max(m.count() for m in many) > LISTED:
+        marked = some
+        for k, m in enumerate(many):
+            marked = marked.join(m, f"p{k}", "left")
+        key = F.col(f"p{last}")
+        for k in range(last - 1, -1, -1):  # a prefix is heavy only if those shorter are
+            key = F.when(F.col(f"h{k}").isNull(), F.col(f"p{k}")).otherwise(key)
+        return marked.select(*kept, key.alias("prefix"), F.col(f"h{last}").isNotNull().alias("heavy"))
+    shared = spark.sparkContext.broadcast([m.toArrow()[f"p{k}"].to_numpy() for k, m in enumerate(many)])  # at most LISTED each
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = _arrays(b, *[f"p{k}" for k in range(last + 1)])
+            heavy = [np.isin(x, listed) for x, listed in zip(p, shared.value)]
+            key = p[last]
+            for k in range(last - 1, -1, -1):
+                key = np.where(heavy[k], key, p[k])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(key), pa.array(heavy[last])], [*kept, "prefix", "heavy"])
+
+    return some.select(*kept, *[f"p{k}" for k in range(last + 1)]).mapInArrow(deal, "doc_id long, tag long, begin int, windows int, words binary, prefix long, heavy boolean")
 
 
 def heavy_repeats(heavy: DataFrame, n: int) -> DataFrame:

@@ -123,6 +123,45 @@ def test_site_rules(spark):
     assert got == [(True, True, False), (False, True, False), (False, False, False), (False, False, False), (False, False, False), (False, False, False), (False, True, True), (False, True, True)]
 
 
+def test_bm25_best_equals_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "SCORED_AT_ONCE", 64)  # several lots, so that later ones are cut by the best of the earlier
+    monkeypatch.setattr(search, "REQUEST_BYTES", 2000)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 30), p=np.arange(60, 0, -1) / 1830)) for _ in range(400)]
+    texts[50:90] = [texts[50]] * 40  # ties
+    docs = [(i, x) for i, x in enumerate(texts)] + [(7, "w1 w59"), (7, texts[7]), (None, "w2 w3 w3"), (500, None)]
+    docs = spark.createDataFrame(docs, "id long, body string").repartition(3).cache()
+    asked = spark.createDataFrame([(i, [str(x) for x in rng.choice(words, 8)]) for i in range(60)] + [(99, ["nowhere"]), (98, [])], "request_id long, terms array<string>")
+    full = search.bm25(docs, asked, "id", "body").withColumn("score", F.round("score", 6))
+    want = {(r.request_id, r.doc, r["rank"]) for r in search.channel(full, 9, "c").collect()}
+    best = search.bm25_best(docs, asked, "id", "body", 9)
+    assert {(r.request_id, r.doc, r["rank"]) for r in search.channel(best, 9, "c").collect()} == want and len(want) == 540
+    assert best.count() == 540
+
+
+def test_closest_equals_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(int(i), "ab"[i % 2], None if i % 17 == 0 else int(rng.integers(0, 40))) for i in range(300)] + [(1000 + i, "c", None if i else 5) for i in range(4)] + [(3, "b", 7)]
+    docs = spark.createDataFrame(rows, "doc long, k string, value long")
+    asked = docs.where("doc % 20 = 0").withColumnRenamed("doc", "request_id")
+    pairs = docs.join(asked.withColumnRenamed("value", "n"), "k").withColumn("score", -F.abs(F.col("n") - F.col("value")))
+    want = sorted((r.request_id, r.doc, r["rank"]) for r in search.channel(pairs, 6, "c").collect())
+    found = search.closest(docs, asked, ["k"], 6)
+    assert sorted((r.request_id, r.doc, r["rank"]) for r in search.channel(found, 6, "c").collect()) == want
+    assert found.count() <= 6 * asked.count()
+
+
+def test_coverage_of_forms_at_hand(spark):
+    rows = spark.createDataFrame([(["planes", "airplane", "x", "glass"], ["plane", "glas", "b"])], "q array<string>, t array<string>")
+    r = rows.select(text.coverage(F.col("q"), F.col("t")).alias("a"), text.coverage(F.col("q"), F.col("t"), text.held_forms("t")).alias("b")).first()
+    assert r.a == r.b and r.a.matched == 3
+
+
 def test_bm25_equals_fts5(spark):
     sqlite3 = pytest.importorskip("sqlite3")
     docs = [(1, "the quick brown fox"), (2, "the lazy dog the dog"), (3, "quick quick fox and dog"), (4, "nothing here"), (5, "brown bread")]

@@ -1,78 +1,16 @@
-"""Tables between the steps of an operator, and small helpers for plans."""
+"""Small helpers for plans."""
 
 from __future__ import annotations
 
-import ctypes
 import gc
-import tempfile
-import time
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import shared_dir, stage, trim  # noqa: F401
 from .hashing import give_back
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset, in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if "dir" not in _own:
-            _own["dir"] = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        found = _own["dir"]
-    return found.rstrip("/")
-
-
-def _steady() -> None:
-    """On the driver, which lives long: blocks of 256 KiB and more are mapped and so go back to the system when freed."""
-    if not _own.get("steady"):
-        _own["steady"] = "yes"
-        if hasattr(libc := ctypes.CDLL(None), "mallopt"):
-            libc.mallopt(-3, 1 << 18)
-
-
-#: Seconds between two calls of ``trim`` from ``stage``.
-TRIM_EVERY = 10.0
-_trimmed = [0.0]
-
-
-def trim(spark: SparkSession) -> None:
-    """Let the driver's JVM give freed native memory back to the system, where it can (HotSpot on glibc). Its compilers
-    allocate and free much of it for the plans of a long session, and the allocator keeps that otherwise."""
-    _trimmed[0] = time.monotonic()
-    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
-    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
-    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
-    of = jvm.java.lang.Class.forName
-
-    def call(method: str, kinds: list[str], values: list[object]) -> object:
-        """Through the public interface, as the server's own class is not open to reflection."""
-        types, args = new(jvm.java.lang.Class, len(kinds)), new(jvm.java.lang.Object, len(kinds))
-        for i, (kind, value) in enumerate(zip(kinds, values)):
-            types[i], args[i] = of(kind), value
-        return of("javax.management.MBeanServer").getMethod(method, types).invoke(server, args)
-
-    one = ["javax.management.ObjectName"]
-    if call("isRegistered", one, [name]) and any(x.getName() == "systemTrimNativeHeap" for x in call("getMBeanInfo", one, [name]).getOperations()):
-        call("invoke", [*one, "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"], [name, "systemTrimNativeHeap", None, None])
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: the lineage ends there, for every executor."""
-    _steady()
-    spark = df.sparkSession
-    if time.monotonic() - _trimmed[0] > TRIM_EVERY:
-        trim(spark)
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def reclaim(spark: SparkSession) -> None:
     """Let the JVM collect finished plans, so that the context cleaner removes the shuffle files of steps

@@ -162,6 +162,17 @@ def test_coverage_of_forms_at_hand(spark):
     assert r.a == r.b and r.a.matched == 3
 
 
+def test_bm25_and_cosine_of_given_pairs(spark):
+    docs = spark.createDataFrame([(1, "a b", [1.0, 0.0]), (2, "a c", [0.6, 0.8]), (3, "b c d", [0.0, 1.0])], "id int, body string, v array<double>")
+    asked = spark.createDataFrame([("q", ["a", "b"], [1.0, 0.0]), ("r", ["c"], [0.0, 1.0])], "request_id string, terms array<string>, vector array<double>")
+    only = spark.createDataFrame([("q", 3), ("r", 2), ("r", 1)], "request_id string, doc int")
+    full = {(r.request_id, r.doc): r.score for r in search.bm25(docs, asked, "id", "body").collect()}
+    got = {(r.request_id, r.doc): r.score for r in search.bm25(docs, asked, "id", "body", pairs=only).collect()}
+    assert got == {k: full[k] for k in [("q", 3), ("r", 2)]}
+    far = {(r.request_id, r.doc): r.cosine for r in search.cosine_scores(docs, asked, "id", "v").collect()}
+    assert {(r.request_id, r.doc): r.cosine for r in search.cosine_scores(docs, asked, "id", "v", only=only).collect()} == {k: far[k] for k in [("q", 3), ("r", 2), ("r", 1)]}
+
+
 def test_bm25_equals_fts5(spark):
     sqlite3 = pytest.importorskip("sqlite3")
     docs = [(1, "the quick brown fox"), (2, "the lazy dog the dog"), (3, "quick quick fox and dog"), (4, "nothing here"), (5, "brown bread")]

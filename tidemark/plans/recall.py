@@ -18,6 +18,7 @@ from ..config import DEFAULTS, Defaults
 from ..functions import contract, sites, text
 from ..operators import packet, search
 from ..schema import SCOPES
+from ..tables import stage
 
 
 class InvalidRequest(ValueError):
@@ -152,26 +153,34 @@ def recall(requests: list[Request] | DataFrame, records: DataFrame, embedded: Da
     """Packets of a batch of requests: a list, or a table (``REQUEST``). records: effective rows with ``sessions``; embedded:
     (atom, vector).
 
-    The channels propose (plan, record) pairs by equi-joins on terms, by similarity and among confirmed records; only these
-    are joined with evidence and plans for the hard checks. Excluded sites and retention are filters on the records'
-    columns, so they reach the scan."""
+    A plan with equality values meets, by the first of them, only records that hold it; a plan without any meets what the
+    channels propose by equi-joins on terms, by similarity and among confirmed records. Only these are joined with evidence
+    and plans for the hard checks. Evidence and plans are written once. Excluded sites and retention are filters on the
+    records' columns, so they reach the scan."""
     if not isinstance(requests, DataFrame):
         requests = requests_frame(records.sparkSession, requests)
-    plans = plans_frame(requests).where("not unsupported and size(main_terms) > 0")
-    rows = evidence(records.where(sites.site_policy("site", excluded or [])), as_of, d)
-    asked = plans.select(F.col("plan_id").alias("request_id"), F.col("terms"))
-    # corpus statistics are over all records, before any filter
-    lexical = search.bm25(records.withColumn("fts", F.concat_ws(" ", "title", "query")), asked, "atom", "fts", d).select(F.col("request_id").alias("plan_id"), F.col("doc").alias("atom"), F.col("score").alias("bm25"))
-    if embedded is not None:
-        wanted = plans.where("vector is not null").select(F.col("plan_id").alias("request_id"), "vector")
-        cos = search.cosine_scores(embedded, wanted, "atom", "vector", None, d).where(F.col("cosine") >= d.semantic_admission).select(F.col("request_id").alias("plan_id"), F.col("doc").alias("atom"), "cosine")
-        pairs = lexical.join(cos, ["plan_id", "atom"], "full")
-    else:
-        pairs = lexical.withColumn("cosine", F.lit(None).cast("double"))
+    plans = stage(plans_frame(requests).where("not unsupported and size(main_terms) > 0"), "plans")
+    rows = stage(evidence(records.where(sites.site_policy("site", excluded or [])), as_of, d).withColumn("forms", text.held_forms("content")), "evidence")
     own = rows.withColumnRenamed("source", "r_source")
+    keyed, free = plans.where("size(equal) > 0"), plans.where("size(equal) = 0")
+    met = own.withColumn("key", F.explode("values")).join(keyed.withColumn("key", F.element_at("equal", 1)), "key").where("r_source = source").drop("key")
+    only = met.where("state = 'observed'").select(F.col("plan_id").alias("request_id"), F.col("atom").alias("doc")).distinct()
+
+    def proposed(some: DataFrame, only: DataFrame | None) -> DataFrame:
+        """(plan_id, atom, bm25, cosine); corpus statistics are over all records, before any filter."""
+        asked = some.select(F.col("plan_id").alias("request_id"), F.col("terms"))
+        lexical = search.bm25(records.withColumn("fts", F.concat_ws(" ", "title", "query")), asked, "atom", "fts", d, only).select(F.col("request_id").alias("plan_id"), F.col("doc").alias("atom"), F.col("score").alias("bm25"))
+        if embedded is None:
+            return lexical.withColumn("cosine", F.lit(None).cast("double"))
+        wanted = some.where("vector is not null").select(F.col("plan_id").alias("request_id"), "vector")
+        cos = search.cosine_scores(embedded, wanted, "atom", "vector", None, d, only).where(F.col("cosine") >= d.semantic_admission).select(F.col("request_id").alias("plan_id"), F.col("doc").alias("atom"), "cosine")
+        return lexical.join(cos, ["plan_id", "atom"], "full")
+
+    sides = [f() for some, f in ((keyed, lambda: proposed(keyed, only)), (free, lambda: proposed(free, None))) if some.limit(1).count()]
+    pairs = sides[0].unionByName(sides[1]) if len(sides) == 2 else sides[0] if sides else proposed(free, None)
     observed_pairs = pairs.join(own.where("state = 'observed'"), "atom").join(plans, "plan_id").where("r_source = source")
-    confirmed_pairs = own.where("state = 'confirmed'").join(plans, F.col("r_source") == F.col("source")).withColumns({"bm25": F.lit(None).cast("double"), "cosine": F.lit(None).cast("double")})
-    pool = observed_pairs.unionByName(confirmed_pairs).where(checked()).withColumn("cover", text.coverage(F.col("main_terms"), F.col("content")))
+    confirmed_pairs = met.unionByName(own.join(free, F.col("r_source") == F.col("source"))).where("state = 'confirmed'").withColumns({"bm25": F.lit(None).cast("double"), "cosine": F.lit(None).cast("double")})
+    pool = observed_pairs.unionByName(confirmed_pairs).where(checked()).withColumn("cover", text.coverage(F.col("main_terms"), F.col("content"), F.col("forms")))
     facet = F.exists("facets", lambda f: (F.length(text.compact(f)) >= 3) & F.contains(F.col("raw"), text.compact(f)))
     good = search.admitted(F.col("bm25").isNotNull(), F.col("cover.coverage"), F.col("cosine"), facet, F.size("main_terms") > 0, d)
     observed, confirmed = pool.where("state = 'observed'").where(good), pool.where("state = 'confirmed'").where((F.col("cover.matched") > 0) & (F.col("cover.coverage") >= d.lexical_coverage))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -264,6 +265,50 @@ def test_banded_distance():
             assert line_dedup.within(a, b, e) == (distance(a, b) <= e), (a, b, e)
 
 
+def test_components_in_one_task_and_in_steps(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1040)]
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    one, steps = ({r.node: r.component for r in components.components(frame, few=n).collect()} for n in (1000, 0))
+    assert one == steps and one[1040] == 1000
+    assert components.components(frame.limit(0)).collect() == []
+
+
+def test_parity_of_code_points():
+    """Two edits flip eight bits at most, whatever the characters; lines that only share a segment are told apart."""
+    rng = random.Random(12)
+    letters = "abcdefgh \u00e9\u0416\u6587\U0001f600"
+    some, other = ["".join(rng.choice(letters) for _ in range(rng.randrange(30, 90))) for _ in range(400)], []
+    for t in some:
+        for _ in range(2):
+            k, c = rng.randrange(len(t)), rng.choice(letters)
+            t = rng.choice([t[:k] + t[k + 1 :], t[:k] + c + t[k:], t[:k] + c + t[k + 1 :]])
+        other.append(t)
+    a, b = (line_dedup.Lines(pa.array(x), 1).parity() for x in (some, other))
+    assert np.bitwise_count(a ^ b).max() <= 8
+    shared = [f"{t[:10]}{u[10:]}" for t, u in zip(some, some[1:])]
+    assert (np.bitwise_count(a[:-1] ^ line_dedup.Lines(pa.array(shared), 1).parity()) <= 8).mean() < 0.01
+    lone = line_dedup.Lines(pa.array(["\n".join(some)]), 1)
+    assert lone.parity().tolist() == a.tolist()
+
+
+def test_written_tables_go_with_their_plans(spark):
+    from tidemark import tables
+    from tidemark.llm.shared import reclaim
+
+    df = tables.stage(spark.range(10), "swept")
+    used, path = df.where("id > 3"), df.inputFiles()[0].removeprefix("file:")
+    del df
+    reclaim(spark)
+    assert os.path.exists(path) and used.count() == 6
+    del used
+    for _ in range(5):
+        reclaim(spark)
+        if not os.path.exists(path):
+            break
+    assert not os.path.exists(path)
+
+
 def test_line_dedup(spark, nothing):
     rng = random.Random(4)
     base = ["".join(rng.choice("abcdeé ") for _ in range(rng.randrange(28, 60))) for _ in range(25)]

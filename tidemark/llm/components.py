@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts, stage
+from .shared import parts, reclaim, stage
 
+#: Edges (16 bytes each) that one task takes; more go the distributed way.
+FEW = 1_000_000
 
-def components(edges: DataFrame) -> DataFrame:
+
+def least_reachable(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges and the least node that each of them reaches."""
+    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = at[: len(src)], at[len(src) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = np.maximum(a, b)[apart], np.minimum(a, b)[apart]
+        np.minimum.at(root, a, b)  # roots join smaller ones
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(node, component): the least node reachable, for every node of ``edges`` (src, dst).
 
-    Large-star and small-star steps in turn until nothing changes; a step takes the least neighbour of each node by a
+    Up to ``few`` edges meet in one task, whose size so is bounded. Beyond, large-star and small-star steps in turn until nothing changes; a step takes the least neighbour of each node by a
     partial aggregate and joins it back, so a node with very many edges does not gather in one task."""
     now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
+    now = stage(now, "edges")
+    if now.count() <= few:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(list(batches), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            for b in pa.table(dict(zip(("node", "component"), least_reachable(table["a"].to_numpy(), table["b"].to_numpy())))).to_batches(1 << 16):
+                yield b
+
+        return now.coalesce(1).mapInArrow(run, "node long, component long")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -30,6 +57,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == state:
             break
         state = mark
+        reclaim(edges.sparkSession)  # shuffle files and tables of the steps before
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
 

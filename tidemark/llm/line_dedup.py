@@ -5,8 +5,8 @@ by such lines. Lines of fewer than ``least`` code points are only compared for e
 lines are left alone. A line is cut into edits + 1 segments; two lines
 within that distance agree in one of them, at nearly the same place. So every line probes, for each length it may meet,
 the substrings at which that length's segments can lie (the multi-match-aware windows). Keys are (length, segment,
-content); a line's own segments are among its probes. Members of a key are compared by the parity of their character
-pairs of bytes (an edit of one code point flips at most ten bits of it), which only drops pairs that are too far apart; what stays connected
+content); a line's own segments are among its probes. Members of a key are compared by the parity of their pairs of code
+points (an edit flips at most four bits of it), which only drops pairs that are too far apart; what stays connected
 are candidate clusters, verified by a banded bit-parallel edit distance.
 
 Defined results: a null text has no lines and stays null; the newlines between kept lines stay; equal lines are
@@ -58,13 +58,20 @@ class Lines:
         self.points = np.append(self.points, len(raw))
 
     def parity(self) -> np.ndarray:
-        """For each line the parity of its byte pairs, as 64 bits: an edit of one code point changes few of them."""
-        raw = self.w.raw.astype(U)
-        pair = np.zeros(len(raw) + 1, U)
-        if len(raw) > 1:
-            pair[1:-1] = U(1) << (mix((raw[:-1] << U(8)) | raw[1:]) >> U(58))
+        """For each line the parity of its pairs of code points, as 64 bits: an edit changes at most four of them, two that
+        go and two that come."""
+        raw, at = self.w.raw, self.points[:-1]
+        code = raw[at].astype(U)
+        size = np.diff(self.points)
+        for k in range(1, 4):
+            more = np.flatnonzero(size > k)
+            code[more] |= raw[at[more] + k].astype(U) << U(8 * k)
+        pair = np.zeros(len(at) + 1, U)
+        if len(at) > 1:
+            pair[1:-1] = U(1) << (mix((code[:-1] << U(32)) | code[1:]) >> U(58))
         total = np.concatenate([np.zeros(1, U), np.bitwise_xor.accumulate(pair)])
-        return total[self.end] ^ total[np.minimum(self.begin + 1, self.end)]
+        end = self.first + self.length
+        return total[end] ^ total[np.minimum(self.first + 1, end)]
 
     def blank(self) -> np.ndarray:
         """Whether each line has only ASCII white space."""
@@ -199,8 +206,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         order = order[new]
         return keys[order], ids[order], sketches[order][:, None]
 
-    # one edit of a code point (up to four bytes) changes at most five byte pairs before and five after it
-    most = 10 * edits
+    most = 4 * edits
 
     def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.bitwise_count(a ^ b).sum(-1) <= most

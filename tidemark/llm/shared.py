@@ -8,15 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import shared_dir, stage, trim  # noqa: F401
+from ..tables import shared_dir, stage, sweep, trim  # noqa: F401
 from .hashing import give_back
 
 
 def reclaim(spark: SparkSession) -> None:
     """Let the JVM collect finished plans, so that the context cleaner removes the shuffle files of steps
-    whose results are already in a written table. Changes no result; bounds the disk that a chain of steps holds."""
+    whose results are already in a written table, and delete the tables that no plan reads any more. Changes no result;
+    bounds the disk that a chain of steps holds."""
     gc.collect()  # plans that Python still holds in cycles
     spark.sparkContext._jvm.System.gc()
+    sweep(spark)
     trim(spark)
     give_back()
 

@@ -691,6 +691,43 @@ def test_decontamination_against_all_pairs(spark):
                 assert (i, j) not in got
 
 
+def test_windows_meet_items_once_and_only_hopeless_pairs_fall_out(monkeypatch):
+    """Windows of the same weighted words are multiplied once; words in common are never counted below those of any place."""
+    rng = random.Random(31)
+    items = decontaminate.Items(list(range(12)), pa.array([prose(rng, rng.randrange(8, 30), 150) for _ in range(12)]), pa.array([None, "w3 elsewhere"] * 6))
+    items.weigh(np.ones(len(items.vocab), np.int64), 10**6)
+    texts = [prose(rng, rng.randrange(1, 60), 150) for _ in range(40)] + ["", "nothing here"]
+    w = decontaminate.words_of(pa.array(texts))
+    at, term = decontaminate.tokens(w.hashes(), items.vocab)
+    doc, item = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(12), indexing="ij"))
+    want = []
+    for d, j in zip(doc.tolist(), item.tolist()):
+        own = set(w.hashes()[w.first[d] : w.first[d + 1]].tolist())
+        common = sum(n for v, n in items.counts[j].items() if v in own)
+        known = set(items.vocab.tolist())
+        telling = sum(v in own or v not in known for v in items.telling[j])
+        want.append(common >= decontaminate.LEAK * len(items.words[j]) or telling >= decontaminate.KEYS * len(items.telling[j]))
+    assert 0 < sum(want) < len(want)
+    for cells in (1, 3 * len(items.vocab), 1 << 24):
+        assert decontaminate.shared_words(doc, item, w.doc[at], term, items.lists(), len(items.vocab), cells).tolist() == want
+
+    values = np.random.default_rng(3).integers(0, 9, (700, 3)).astype(np.float32)
+    for begin in ([0], [0, 1, 2, 5, 6, 90, 91, 200, 430, 699], sorted({0, *rng.sample(range(700), 300)})):
+        assert (decontaminate.add_runs(values, np.array(begin)) == np.add.reduceat(values, np.array(begin), axis=0)).all()
+
+    class Rows:
+        sparkSession = sparkContext = property(lambda self: self)
+        broadcast = staticmethod(lambda value: type("Value", (), {"value": value}))
+        mapInArrow = staticmethod(lambda run, _: run)
+
+    norm, seen = np.linalg.norm, []
+    run = decontaminate.search(Rows(), items, np.eye(len(items.vocab), dtype=np.float32))
+    monkeypatch.setattr(np.linalg, "norm", lambda x, **k: seen.append(len(x)) or norm(x, **k))
+    word = prose(random.Random(31), 1, 150)  # of the first item
+    list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([f"{'x ' * 70}{word}{' x' * 70}"] * 50)], ["doc_id", "text"])])))
+    assert sum(seen) == 1, seen
+
+
 def test_short_and_unspaced_items(spark):
     docs = spark.createDataFrame([(1, "so the Quick brown, fox went"), (2, "quick fox brown"), (3, "前置きです。東京都は日本の首都であり世界最大の都市圏です。終わり"), (4, "quick brown"), (5, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "quick brown fox"), (2, "quick brown"), (3, "東京都は日本の首都であり世界最大の都市圏です"), (4, "w x y z v u")], "item_id long, text string")

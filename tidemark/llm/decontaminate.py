@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import NOT_ALNUM, Words, buffer_of, runs, slices
+from .hashing import NOT_ALNUM, Words, buffer_of, runs, slices, sums
 from .shared import stage
 
 BLOCK, SCALES, STOP = 8, (2, 4), 1e-3
@@ -123,6 +123,17 @@ class Items:
         length = np.sqrt(np.bincount(item, weight**2, len(self.words)))
         return item, term, weight / np.maximum(length, 1e-12)[item]
 
+    def lists(self) -> tuple[np.ndarray, ...]:
+        """For ``shared_words``: each item's distinct terms, how often it has them, and where its list begins (one more: the
+        end); the same of its telling terms; how many telling words no item has; words and telling words in all."""
+        term = [np.searchsorted(self.vocab, np.array(sorted(x), np.uint64)) for x in self.counts]
+        often = [[x[v] for v in sorted(x)] for x in self.counts]
+        known = [np.array(sorted(x), np.uint64) for x in self.telling]
+        known = [x[np.isin(x, self.vocab)] for x in known]
+        edges = [np.cumsum([0, *map(len, x)]) for x in (term, known)]
+        size, telling = (np.array([len(x) for x in y]) for y in (self.words, self.telling))
+        return np.concatenate(term), np.concatenate(often), edges[0], np.searchsorted(self.vocab, np.concatenate(known)), edges[1], telling - np.diff(edges[1]), size, telling
+
     def latent_of(self, projection: np.ndarray) -> np.ndarray:
         """The items' directions in a latent space."""
         own = np.stack([projection[np.searchsorted(self.vocab, x)].sum(0) for x in self.words])
@@ -142,9 +153,57 @@ def gram(matrix: tuple[np.ndarray, np.ndarray, np.ndarray], right: np.ndarray) -
     return out
 
 
-def tokens(w: Words, vocab: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, term) of the words in the vocabulary (in its used part)."""
-    h = w.hashes()
+def add_runs(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each run, as np.add.reduceat(values, begin, axis=0), which is slow where runs are short: the
+    first rows of all runs, then the second ones of those that have one, and so on."""
+    size = np.diff(np.append(begin, len(values)))
+    if size.max(initial=0) > 256:
+        return np.add.reduceat(values, begin, axis=0)
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    total = values[begin]
+    for k in range(1, int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -k))  # runs of more than k rows
+        total[:n] += values[begin[:n] + k]
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
+def shared_words(doc: np.ndarray, item: np.ndarray, at: np.ndarray, term: np.ndarray, lists: tuple[np.ndarray, ...], vocab: int, cells: int = 1 << 24) -> np.ndarray:
+    """Which (document, item) pairs, in order of documents, have words enough in common for a verdict, wherever they
+    stand: no fewer than any place in the document has. at, term: documents, in order, and terms of all their words in the
+    vocabulary. At most ``cells`` cells (or one document's) are held at once."""
+    own, often, edge, known, edge_known, strange, size, telling = lists
+    out = np.zeros(len(doc), bool)
+
+    def held(row: np.ndarray, j: np.ndarray, names: np.ndarray, edges: np.ndarray, weight: np.ndarray | None, has: np.ndarray) -> np.ndarray:
+        n = edges[j + 1] - edges[j]
+        first = np.concatenate([[0], np.cumsum(n)])
+        flat = np.repeat(edges[j] - first[:-1], n) + np.arange(first[-1])
+        hit = has[np.repeat(row, n), names[flat]]
+        return sums(hit if weight is None else hit * weight[flat], first)
+
+    step = max(1, cells // max(1, vocab))
+    docs = np.unique(doc)
+    for k in range(0, len(docs), step):
+        some = docs[k : k + step]
+        has = np.zeros((len(some), vocab), bool)
+        a, e = np.searchsorted(at, [some[0], some[-1] + 1])
+        row = np.minimum(np.searchsorted(some, at[a:e]), len(some) - 1)
+        right = some[row] == at[a:e]
+        has[row[right], term[a:e][right]] = True
+        a, e = np.searchsorted(doc, [some[0], some[-1] + 1])
+        for i in range(a, e, 8192):
+            pairs = slice(i, min(e, i + 8192))
+            row, j = np.searchsorted(some, doc[pairs]), item[pairs]
+            out[pairs] = held(row, j, own, edge, often, has) >= LEAK * size[j]
+            out[pairs] |= held(row, j, known, edge_known, None, has) + strange[j] >= KEYS * telling[j]
+    return out
+
+
+def tokens(h: np.ndarray, vocab: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, term) of the words, given by their hashes, in the vocabulary (in its used part)."""
     if not len(vocab) or not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # a table over 16 bits of the hash first: most words are in no item
@@ -167,7 +226,7 @@ def frequencies(rows: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
         for b in slices(batches):
             w = words_of(b.column("text"))
             blocks += int((-(-w.count // BLOCK)).sum())
-            at, term = tokens(w, shared.value)
+            at, term = tokens(w.hashes(), shared.value)
             block = w.doc[at].astype(np.int64) * (1 << 24) + (at - w.first[w.doc[at]]) // BLOCK
             order = np.lexsort((block, term))
             new = np.ones(len(order), bool)
@@ -196,16 +255,16 @@ def latent(rows: DataFrame, items: Items, rank: int = RANK, seed: int = 5) -> np
         z, energy = np.zeros((len(vocab), rank), np.float64), 0.0
         for b in slices(batches):
             w = words_of(b.column("text"))
-            at, term = tokens(w, vocab, idf > 0)
+            at, term = tokens(w.hashes(), vocab, idf > 0)
             if not len(at):
                 continue
             passage = w.doc[at].astype(np.int64) * (1 << 24) + (at - w.first[w.doc[at]]) // (BLOCK * SCALES[-1])
             begin = runs(passage)
             row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(at))))
-            projected = np.add.reduceat(om[term] * idf[term][:, None], begin, axis=0)
+            projected = add_runs((om * idf[:, None])[term] if len(term) > len(idf) else om[term] * idf[term][:, None], begin)
             order = np.argsort(term, kind="stable")
             first = runs(term[order])
-            z[term[order][first]] += np.add.reduceat(projected[row[order]] * idf[term[order]][:, None], first, axis=0)
+            z[term[order][first]] += add_runs(projected[row[order]], first) * idf[term[order][first]][:, None]
             energy += float((idf[term] ** 2).sum())
         for k in range(0, len(vocab), chunk):
             yield pa.RecordBatch.from_arrays([pa.array([k // chunk], pa.int32()), pa.array([z[k : k + chunk].astype(np.float32).tobytes()], pa.binary()), pa.array([energy if k == 0 else 0.0])], ["chunk", "z", "energy"])
@@ -235,7 +294,7 @@ def latent(rows: DataFrame, items: Items, rank: int = RANK, seed: int = 5) -> np
 def search(rows: DataFrame, items: Items, projection: np.ndarray) -> DataFrame:
     """Verified matches of all windows of all documents with all items."""
     own = items.latent_of(projection)
-    shared = rows.sparkSession.sparkContext.broadcast((items.vocab, items.idf > 0, projection, own.astype(np.float32), items.ids, items.words, items.bits, items.telling, items.counts))
+    shared = rows.sparkSession.sparkContext.broadcast((items.vocab, items.idf > 0, projection, own.astype(np.float32), items.ids, items.words, items.bits, items.telling, items.counts, items.lists()))
 
     def verify(words: list, start: int, end: int, item: int, value: tuple) -> tuple[float, float, bool] | None:
         size, bits, telling = len(value[5][item]), value[6][item], value[7][item]
@@ -254,35 +313,51 @@ def search(rows: DataFrame, items: Items, projection: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shared.value
-        vocab, used, proj, targets, ids = value[:5]
+        vocab, used, proj, targets, ids, lists = *value[:5], value[9]
         for b in slices(batches):
             w = words_of(b.column("text"))
-            at, term = tokens(w, vocab, used)
+            h = w.hashes()
+            every, every_term = tokens(h, vocab)
+            at, term = every[used[every_term]], every_term[used[every_term]]
             if not len(at):
                 continue
-            sums = np.zeros((len(at) + 1, proj.shape[1]), np.float32)
-            np.cumsum(proj[term], axis=0, out=sums[1:])
+            total = np.zeros((len(at) + 1, proj.shape[1]), np.float32)
+            np.cumsum(proj[term], axis=0, out=total[1:])
             row, inside = w.doc[at], at - w.first[w.doc[at]]
             place = np.unique((row << 32) + inside // BLOCK)
             place = np.unique(np.concatenate([place - k for k in range(SCALES[-1])]))
             place = place[(place & 0xFFFFFFFF) < 1 << 31]  # not before the text's begin
-            starts = np.stack([place >> 32, place & 0xFFFFFFFF], 1)
+            owner, begin = place >> 32, w.first[place >> 32] + (place & 0xFFFFFFFF) * BLOCK
+            owner, begin, end = np.tile(owner, len(SCALES)), np.tile(begin, len(SCALES)), np.concatenate([np.minimum(begin + scale * BLOCK, w.first[owner + 1]) for scale in SCALES])
+            lo, hi = np.searchsorted(at, begin), np.searchsorted(at, end)
+            some = np.flatnonzero(hi > lo)
+            owner, begin, end, lo, hi = owner[some], begin[some], end[some], lo[some], hi[some]
+            # windows with the same weighted words have one direction: it is held against the items once
+            name = np.where(hi - lo == 1, -1 - term[lo], lo * (SCALES[-1] * BLOCK + 1) + hi - lo)
+            order = np.argsort(name, kind="stable")
+            edges = np.append(runs(name[order]), len(order))
+            one = order[edges[:-1]]
+            near: list[tuple[np.ndarray, ...]] = []
+            for k in range(0, len(one), 4096):
+                v = total[hi[one[k : k + 4096]]] - total[lo[one[k : k + 4096]]]
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                cosine = (v @ targets.T).ravel()
+                hit = np.flatnonzero(cosine >= COSINE)
+                near.append((hit // len(targets) + k, hit % len(targets), cosine[hit]))
+            which, item, cosine = (np.concatenate(x) for x in zip(*near))
+            many = np.diff(edges)[which]
+            first = np.concatenate([[0], np.cumsum(many)])
+            window = order[np.repeat(edges[which] - first[:-1], many) + np.arange(first[-1])]
+            item, cosine = np.repeat(item, many), np.repeat(cosine, many)
+            pair = owner[window] * len(targets) + item
+            pairs, where = np.unique(pair, return_inverse=True)
+            keep = shared_words(pairs // len(targets), pairs % len(targets), w.doc[every], every_term, lists, len(vocab))[where]
             found: dict[tuple[int, int], list[tuple[int, int, float]]] = defaultdict(list)
-            for scale in SCALES:
-                begin = w.first[starts[:, 0]] + starts[:, 1] * BLOCK
-                end = np.minimum(begin + scale * BLOCK, w.first[starts[:, 0] + 1])
-                lo, hi = np.searchsorted(at, begin), np.searchsorted(at, end)
-                fine = np.flatnonzero(hi > lo)
-                for k in range(0, len(fine), 4096):
-                    some = fine[k : k + 4096]
-                    v = sums[hi[some]] - sums[lo[some]]
-                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                    cosine = v @ targets.T
-                    for i, j in zip(*np.nonzero(cosine >= COSINE)):
-                        d = int(starts[some[i], 0])
-                        found[d, int(j)].append((int(begin[some[i]] - w.first[d]), int(end[some[i]] - w.first[d]), float(cosine[i, j])))
+            window = window[keep]
+            base = w.first[owner[window]]
+            for d, j, start, stop, x in zip(owner[window].tolist(), item[keep].tolist(), (begin[window] - base).tolist(), (end[window] - base).tolist(), cosine[keep].tolist()):
+                found[d, j].append((start, stop, x))
             out, text, last = [], [], -1
-            h = w.hashes()
             for (d, j), windows in sorted(found.items()):
                 if d != last:
                     text, last = h[w.first[d] : w.first[d + 1]].tolist(), d

@@ -110,6 +110,31 @@ def test_heavy_prefixes_lose_no_repeat(spark):
         assert all(length >= n for x in got.values() for _, length in x)
 
 
+def test_equal_segments_go_into_one_tree_row(spark):
+    """Of copies in any tasks only the least id's segments travel; rows with one id do not take each other's marks; more unlike
+    segments round one anchor than a slice passes on lose nothing."""
+    rng, n = random.Random(17), 13
+    text = [f"c{k}" for k in range(60)]
+    passage = [f"p{k}" for k in range(n + 4)]
+    texts = [(i, text) for i in range(40)]
+    texts += [(50, text[:20] + [f"u{k}" for k in range(40)]), (50, [f"v{k}" for k in range(20)] + text[20:]), (50, text)]
+    texts += [(100 + i, [f"a{i}x{k}" for k in range(5)] + passage + [f"b{i}x{k}" for k in range(rng.randrange(9))]) for i in range(3 * suffix_dedup.UNLIKE)]
+    first, want = {}, Counter()
+    for i, w in sorted(texts):
+        for k in range(len(w) - n + 1):
+            first.setdefault(tuple(w[k : k + n]), i)
+    for i, w in texts:
+        gone = {j for k in range(len(w) - n + 1) if first[tuple(w[k : k + n])] < i for j in range(k, k + n)}
+        want[i, len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)] += 1
+    for parts in (1, 9):
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string").repartition(parts, "doc_id")
+        rows = docs.withColumn("tag", F.xxhash64("text"))
+        some = suffix_dedup.segments(rows, suffix_dedup.stage(suffix_dedup.shared_anchors(rows, n), "anchors"), n).where("doc_id < 40").collect()
+        assert {r.doc_id for r in some if not r.covered} == {0} and {r.doc_id for r in some if r.covered} == set(range(1, 40))
+        assert all(r.begin == 0 and r.windows == 60 - n + 1 for r in some if r.covered)  # runs that follow one another are one
+        assert Counter((r.doc_id, r.n_removed, r.kept_text) for r in suffix_dedup.substring_dedup(docs).collect()) == want
+
+
 def test_suffix_tree_nodes():
     """Internal nodes, maximal repeats and repeats' lengths of random segments against all pairs of places."""
     rng = random.Random(13)

@@ -5,16 +5,17 @@ suffix counts by its first ``n`` words. The work has three steps.
 
 1. Anchors. In every window of n words the least of its ``ANCHOR``-word hashes is its anchor, so equal windows have equal
    anchors, and about one position in five is one. Anchors that only one document has cannot belong to a repeat. They
-   are matched in packed buckets; a task passes on one document for each anchor, however many copies it holds.
-2. Trees. Only suffixes round shared anchors are built. Segments of text round an anchor are dealt into groups by a
+   are matched in packed buckets, and so are the segments of text round them, by the hash of their bytes: of equal segments
+   only the least id's goes into a tree, and in the others, ``covered``, every window is a repeat. A task passes on one
+   document for each segment, however many copies it holds, and one for each anchor with more than ``UNLIKE`` segments there.
+2. Trees. Only suffixes round shared anchors are built. Their segments are dealt into groups by a
    prefix of the anchor's suffix, of as many words as it takes (1, 2, 4, 5) for at most ``GROUP`` segments to share it;
    never of more than the anchor's words, since those that follow may lie past the passage. There are as many groups as
    the segments' number asks for, of about ``SEGMENTS`` each, whatever the session's partitions. Of a prefix still too
    heavy at five words, each window counts by itself, by all its words. In a group all suffixes of the segments, to the
    segments' ends, are sorted word by word (by doubled prefixes), and the common prefixes of neighbours give the suffix
    tree's internal nodes. A node at least n words deep is a repeat; every node knows its least document id, and the
-   deepest node above a suffix that has a smaller id tells how long the repeat is that starts there. Equal segments of
-   one task count once, with their least id, so a passage in a third of all rows does not gather in one group.
+   deepest node above a suffix that has a smaller id tells how long the repeat is that starts there.
 3. Removal. The repeats, without those inside others, go back to their documents as places and lengths.
 
 Defined results: a null text has no words; a document with fewer than n words keeps all; rows without an id are left
@@ -38,6 +39,10 @@ from .shared import maybe_in, parts, reclaim, stage
 ANCHOR, GROUP, SEGMENTS = 5, 25_000, 40_000
 #: The lengths that prefixes grow through.
 PREFIXES = (1, 2, 4, ANCHOR)
+#: Segments with one anchor that a task passes on from a slice of texts; of more, one, so that no anchor gathers in a bucket.
+UNLIKE = 64
+#: Places of shared anchors; the hash of the segment there if a smaller id has it too, else 0.
+MARK = np.dtype([("at", "<i4"), ("same", "<u8")])
 #: Heavy prefixes of a level that are broadcast; more are joined.
 LISTED = 1_000_000
 
@@ -71,12 +76,29 @@ def _by_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, begin, np.repeat(lo != hi, size)
 
 
+def _covered(keys: np.ndarray, whole: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row whether a smaller id has the same (key, segment)."""
+    order = np.lexsort((ids, whole, keys))
+    keys, whole, own = keys[order], whole[order], ids[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (whole[1:] != whole[:-1])
+    begin = np.flatnonzero(new)
+    out = np.empty(len(own), bool)
+    out[order] = own > np.repeat(own[begin], np.diff(np.append(begin, len(own))))
+    return out
+
+
 def _arrays(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [np.asarray(b.column(c)) for c in names]
 
 
+def segment_hashes(w: Words, first: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Of the bytes from the first word of each run of windows to its last."""
+    return w.hash_of(w.start[first], w.end[first + count + n - 2]) if len(first) else np.zeros(0, U)
+
+
 def shared_anchors(rows: DataFrame, n: int) -> DataFrame:
-    """(doc_id, at): anchors (word indexes, packed) that more than one document has, by document."""
+    """(doc_id, at): anchors (``MARK``, packed) that more than one document has, by document."""
     buckets = parts(rows) * 2
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,90 +106,106 @@ def shared_anchors(rows: DataFrame, n: int) -> DataFrame:
             got: list[tuple] = []
             for s in slices(iter([b])):
                 w = Words(s.column("text"))
-                at, h, _, _ = anchors(w, n)
+                at, h, first, count = anchors(w, n)
                 row = w.doc[at]
-                got.append((h, _arrays(s, "doc_id")[0][row], (at - w.first[row]).astype(np.int32)))
-            key, doc, pos = (np.concatenate(x) for x in zip(*got))
+                got.append((h, _arrays(s, "doc_id")[0][row], (at - w.first[row]).astype(np.int32), segment_hashes(w, first, count, n)))
+            key, doc, pos, whole = (np.concatenate(x) for x in zip(*got))
             if not len(key):
                 continue
             order, begin, shared = _by_key(key, doc)
-            key, doc, pos = key[order], doc[order], pos[order]
-            # of the documents that share an anchor here, one goes on; anchors of one document all do
-            onward = ~shared
+            key, doc, pos, whole = key[order], doc[order], pos[order], whole[order]
+            some = np.flatnonzero(shared)
+            covered = np.zeros(len(key), bool)
+            covered[some] = _covered(key[some], whole[some], doc[some])
+            # of the documents that share an anchor here, one of each segment goes on; anchors of one document all do
+            new = shared & ~covered
+            many = np.repeat(np.add.reduceat(new, begin, dtype=np.int64), np.diff(np.append(begin, len(key)))) > UNLIKE
+            onward = ~shared | (new & ~many)
             onward[begin] = True
             bucket = np.where(onward, (key >> U(40)).astype(np.int64), doc & 0x7FFFFFFF) % buckets
             o = np.lexsort((pos, doc, bucket))
             edges = np.searchsorted(bucket[o], np.arange(buckets + 1))
+            flags = (shared + 2 * onward + 4 * covered).astype(np.uint8)
             out = []
             for k in np.flatnonzero(np.diff(edges)).tolist():
                 i = o[edges[k] : edges[k + 1]]
                 ids = np.diff(doc[i], prepend=0)
-                out.append((k, key[i].tobytes(), ids.tobytes(), pos[i].tobytes(), (shared[i] + 2 * onward[i]).astype(np.uint8).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "key", "doc", "pos", "flags"])
+                out.append((k, key[i].tobytes(), ids.tobytes(), pos[i].tobytes(), flags[i].tobytes(), whole[i].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 5))], ["bucket", "key", "doc", "pos", "flags", "whole"])
 
     def meet(table: pa.Table) -> pa.Table:
         read = lambda c, t: [np.frombuffer(x.as_buffer(), t) for x in table[c]]
-        key, pos, flags = (np.concatenate(read(c, t)) for c, t in (("key", np.uint64), ("pos", np.int32), ("flags", np.uint8)))
+        key, pos, flags, whole = (np.concatenate(read(c, t)) for c, t in (("key", np.uint64), ("pos", np.int32), ("flags", np.uint8), ("whole", np.uint64)))
         doc = np.concatenate([np.cumsum(x) for x in read("doc", np.int64)])
-        found = (flags & 1) == 1
+        found, covered = (flags & 1) == 1, (flags & 4) == 4
         on = np.flatnonzero(flags & 2)
         order, _, shared = _by_key(key[on], doc[on])
-        found[on[order[shared]]] = True
-        doc, pos = doc[found], pos[found]
-        order = np.lexsort((pos, doc))
-        doc, pos = doc[order], pos[order]
+        met = on[order[shared]]
+        found[met] = True
+        covered[met] |= _covered(key[met], whole[met], doc[met])
+        mark = np.empty(int(found.sum()), MARK)
+        mark["at"], mark["same"], doc = pos[found], np.where(covered, whole, U(0))[found], doc[found]
+        order = np.lexsort((mark["at"], doc))
+        doc, mark = doc[order], mark[order]
         begin = runs(doc)
-        return pa.table({"doc_id": doc[begin], "at": pa.array([pos[a:e].tobytes() for a, e in zip(begin, np.append(begin[1:], len(doc)))], pa.binary())})
+        return pa.table({"doc_id": doc[begin], "at": pa.array([mark[a:e].tobytes() for a, e in zip(begin, np.append(begin[1:], len(doc)))], pa.binary())})
 
-    packed = rows.select("doc_id", "text").mapInArrow(send, "bucket int, key binary, doc binary, pos binary, flags binary")
+    packed = rows.select("doc_id", "text").mapInArrow(send, "bucket int, key binary, doc binary, pos binary, flags binary, whole binary")
     return packed.groupBy("bucket").applyInArrow(meet, "doc_id long, at binary")
 
 
 SEGMENT = ["doc_id long", "tag long", "begin int", "windows int", "covered boolean", "words binary", *[f"p{k} long" for k in range(len(PREFIXES))]]
 
 
-def prefixes(w: Words, h: np.ndarray) -> list[np.ndarray]:
-    """For each of PREFIXES the hash of that many words from each word on (of fewer at a text's end)."""
-    out = []
-    for k in PREFIXES:
-        acc = np.zeros(len(h), U)
-        for j in range(min(k, len(h))):
-            step = np.full(len(h), U(j + 1))
-            same = w.doc[j:] == w.doc[: len(h) - j]
-            step[: len(h) - j][same] = h[j:][same]
-            acc = mix(acc * U(31) + step)
-        out.append(acc.view(np.int64))
+def prefixes(w: Words, at: np.ndarray) -> list[np.ndarray]:
+    """For each of PREFIXES the hash of that many words from each anchor on."""
+    out, acc = [], np.zeros(len(at), U)
+    for j in range(ANCHOR):
+        acc = mix(acc * U(31) + w.hash_of(w.start[at + j], w.end[at + j]))
+        if j + 1 in PREFIXES:
+            out.append(acc.view(np.int64))
     return out
 
 
 def segments(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
     """The text of each run of windows with a shared anchor, and prefixes of the anchor's suffix. ``covered``: a smaller
-    id of the same task has the same segment, so all its windows are repeats, and its text need not travel."""
+    id has the same segment, so all its windows are repeats, and its text need not travel; such runs that follow one another
+    are one row."""
     names = [x.split()[0] for x in SEGMENT]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), *[pa.int64()] * len(PREFIXES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=2 << 20):
-            out: list[tuple] = []
-            least: dict[bytes, int] = {}
-            for s in slices(iter([b])):
-                w = Words(s.column("text"))
-                at, _, first, count = anchors(w, n)
-                row, data = w.doc[at], w.raw.tobytes()
-                doc, tag = _arrays(s, "doc_id", "tag")
-                marks = [np.frombuffer(b"".join(x.as_py()), np.int32) for x in s.column("at")]
-                wanted = np.unique(np.concatenate([m.astype(np.int64) + f for m, f in zip(marks, w.first)])) if marks else []
-                keep = np.isin(at, wanted)
-                at, first, count, row = at[keep], first[keep], count[keep], row[keep]
-                pre = [p[at].tolist() for p in prefixes(w, w.hashes())]
-                for d, t, base, c, a, e, *p in zip(doc[row].tolist(), tag[row].tolist(), (first - w.first[row]).tolist(), count.tolist(), w.start[first].tolist(), w.end[first + count + n - 2].tolist(), *pre):
-                    text = data[a:e]
-                    if least.get(text, d) >= d:
-                        least[text] = d
-                    out.append((d, t, base, c, text, *p))
-            if out:
-                final = [(*r[:4], r[0] > least[r[4]], None if r[0] > least[r[4]] else r[4], *r[5:]) for r in out]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), *[pa.int64()] * len(PREFIXES))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*final), kinds)], names)
+        for s in slices(batches):
+            w = Words(s.column("text"))
+            at, _, first, count = anchors(w, n)
+            marks = [np.frombuffer(b"".join(x.as_py()), MARK) for x in s.column("at")]
+            place = np.concatenate([m["at"].astype(np.int64) + f for m, f in zip(marks, w.first)])
+            same = np.concatenate([m["same"] for m in marks])
+            order = np.argsort(place, kind="stable")
+            place, same = place[order], same[order]
+            keep = np.isin(at, place)
+            at, first, count = at[keep], first[keep], count[keep]
+            if not len(at):
+                continue
+            whole, lo, hi = segment_hashes(w, first, count, n), np.searchsorted(place, at), np.searchsorted(place, at, "right")
+            covered = np.zeros(len(at), bool)
+            for k in range(int((hi - lo).max())):  # texts with one id have each other's marks too
+                covered |= (lo + k < hi) & (same[np.minimum(lo + k, hi - 1)] == whole) & (whole != 0)
+            data, (doc, tag) = w.raw.tobytes(), _arrays(s, "doc_id", "tag")
+            loose, gone = np.flatnonzero(~covered), np.flatnonzero(covered)
+            joined = np.ones(len(gone), bool)
+            joined[1:] = (w.doc[at[gone[1:]]] != w.doc[at[gone[:-1]]]) | (first[gone[1:]] != first[gone[:-1]] + count[gone[:-1]])
+            begin = np.flatnonzero(joined)
+            total = np.add.reduceat(count[gone], begin) if len(gone) else count[gone]
+            gone = gone[begin]
+            for i, windows, text, pre in (
+                (loose, count[loose], [data[a:e] for a, e in zip(w.start[first[loose]].tolist(), w.end[first[loose] + count[loose] + n - 2].tolist())], prefixes(w, at[loose])),
+                (gone, total, [None] * len(gone), [np.zeros(len(gone), np.int64)] * len(PREFIXES)),
+            ):
+                if len(i):
+                    row = w.doc[at[i]]
+                    own = (doc[row], tag[row], (first[i] - w.first[row]).astype(np.int32), windows.astype(np.int32), covered[i], text, *pre)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(own, kinds)], names)
 
     by_doc = found.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     some = maybe_in(found, "doc_id")(rows, "doc_id", "hit").where("hit").drop("hit")

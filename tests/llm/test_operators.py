@@ -425,6 +425,45 @@ def test_token_cache_equals_the_library():
     assert [enc.encode(pa.array([t], pa.string()))[0] for t in texts[:500]] == want[:500]
 
 
+def test_token_cache_holds_a_word_once_whatever_mark_follows():
+    words = ["house", "Straße", "été", "x1", "a"]
+    texts = [" ".join(f"{w}{m}" for w in words) for m in ("", ",", ".", "!", ")", "_", "'")]
+    enc, plain = tokens.Encoder(tokens.definition(PATH)), Tokenizer.from_file(PATH)
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    learnt, library = [], enc._learn
+    enc._learn = lambda keys, *more: (learnt.extend(keys), library(keys, *more))[1]
+    assert enc.encode(pa.array(texts)) == want and len(learnt) == len(words)
+    assert enc.encode(pa.array(texts)) == want and len(learnt) == len(words)
+
+
+def test_token_cache_behind_marks_equals_the_library():
+    """Marks behind letters, digits, signs, combining characters and alone, for caches of any fill."""
+    rng = random.Random(4)
+    parts = ["a", "Z9", "é", "e\u0301", "\u00d7", "\u00f7", "\u00ff", "\u00c0", "\u00aa", "\u00b2", "日", "🙂", "'s", "'", ",", ".", "..", "!?", "_", "<|endoftext|>", "\x00", "\x7f", "'ll"]
+    texts = [rng.choice((" ", "\n", "\n\n")).join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(6))) for _ in range(6000)]
+    plain = Tokenizer.from_file(PATH)
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for cached in (10**6, 0, 300):
+        enc = tokens.Encoder(tokens.definition(PATH))
+        assert [x for a in range(0, 6000, 500) for x in enc.encode(pa.array(texts[a : a + 500]), cached)] == want
+        assert enc.encode(pa.array(texts[:500]), cached) == want[:500] and enc.encode(pa.array([], pa.string()), cached) == []
+
+
+def test_known_words():
+    """Numbers of keys that share places, a table that grows, and what stays of it."""
+    known = tokens.Known()
+    keys = (np.arange(1, 2001).astype(np.uint64) << np.uint64(20)) + np.uint64(7)  # all begin at one place of a small table
+    for a in range(0, 2000, 400):
+        part = keys[a : a + 400]
+        known.add(part, np.arange(a, a + 400) % 3, np.repeat(np.arange(a, a + 400), np.arange(a, a + 400) % 3))
+    assert (known.find(keys) == np.arange(2000)).all() and (known.find(keys + np.uint64(1)) == -1).all() and len(known.find(keys[:0])) == 0
+    known.met[known.find(keys[::5])] = True
+    some = known.again(400)
+    at = some.find(keys[::5])
+    assert some.count == 400 and (some.find(keys[1::5]) == -1).all() and not known.again(399).count
+    assert all((some.ids[some.begin[k] : some.begin[k] + some.size[k]] == 5 * i).all() and some.size[k] == 5 * i % 3 for i, k in enumerate(at.tolist()))
+
+
 def test_rans_frames():
     rng = np.random.default_rng(1)
     for n in (1, 127, 129, rans_store.BLOCK, rans_store.BLOCK + 1, 3 * rans_store.BLOCK):

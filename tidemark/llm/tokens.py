@@ -1,9 +1,10 @@
 """Token ids of whole texts by the tokenizers library, without encoding a word again and again.
 
 A byte-level tokenizer splits a text before merging, and a single space or newline between two words always begins a
-new part there. So the ids of a text are those of its words, each with the separator before it, and words met before
-come from a cache (by 64-bit hash). Texts where that does not hold (other white space or longer runs of it, added
-tokens) and other kinds of tokenizers take the library's plain path; the ids are the same either way.
+new part there; so does one ASCII mark at a word's end behind a letter or digit. So the ids of a text are those of its
+words, each with the separator before it, and those of such marks, and words met before come from a cache (by 64-bit
+hash). Texts where that does not hold (other white space or longer runs of it, added tokens) and other kinds of
+tokenizers take the library's plain path; the ids are the same either way.
 """
 
 from __future__ import annotations
@@ -15,15 +16,84 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from .hashing import KEPT, U, Words, _table, mix, sums
+from .hashing import KEPT, NOT_ALNUM, U, Words, _table, mix, sums
 
 #: White space other than space and newline that some pattern could treat as such, and bytes with which it begins.
 ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0" + "".join(map(chr, (0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2065), 0x3000, 0xFEFF))) + "]")
 SUSPECT = _table(bytes([9, *range(11, 14), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]))
-#: What stands before a word.
-LEADS = (b"", b" ", b"\n", b"\n\n")
-#: Words in a worker's cache (about 200 bytes each); beyond it the cache starts anew. Words encoded at a time.
+#: Bytes that stand before a word: nothing, a space, a newline, two newlines.
+LEADS = np.array([0, 1, 1, 2])
+#: Words in a worker's cache (about 50 bytes each); beyond it only those met again stay. Words encoded at a time.
 CACHED, CHUNK = 1_000_000, 2000
+#: ASCII characters that are neither letters, digits nor white space.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All positions of the ranges, one range after another."""
+    end = np.cumsum(size)
+    return np.repeat(begin - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+def _longer(a: np.ndarray, n: int) -> np.ndarray:
+    """An array for n entries at least that begins with ``a``."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
+class Known:
+    """Ids of words by the words' hashes: an open-addressing table of numbers, searched for many words at once."""
+
+    def __init__(self) -> None:
+        self.count, self.end = 0, 0  # words; ids of all of them
+        self.table, self.number = np.zeros(1 << 12, U), np.zeros(1 << 12, np.int32)
+        self.key, self.begin, self.size, self.met = np.zeros(1 << 11, U), np.zeros(1 << 11, np.int64), np.zeros(1 << 11, np.int32), np.zeros(1 << 11, bool)
+        self.ids = np.zeros(1 << 13, "<u4")
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none. Keys are not 0."""
+        out = np.full(len(keys), -1, np.int64)
+        rest, at = np.arange(len(keys)), (keys & U(len(self.table) - 1)).astype(np.int64)
+        while len(rest):
+            held = self.table[at]
+            same = held == keys[rest]
+            out[rest[same]] = self.number[at[same]]
+            on = ~same & (held != 0)
+            rest, at = rest[on], (at[on] + 1) & (len(self.table) - 1)
+        return out
+
+    def _enter(self, numbers: np.ndarray) -> None:
+        at = (self.key[numbers] & U(len(self.table) - 1)).astype(np.int64)
+        while len(numbers):
+            free = self.table[at] == 0
+            self.table[at[free]] = self.key[numbers[free]]  # of several for one place the last has it
+            own = free & (self.table[at] == self.key[numbers])
+            self.number[at[own]] = numbers[own]
+            numbers, at = numbers[~own], (at[~own] + 1) & (len(self.table) - 1)
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct keys that are not there yet, with their numbers of ids and all these ids."""
+        n, end = self.count + len(keys), self.end + len(ids)
+        self.key, self.begin, self.size, self.met = (_longer(x, n) for x in (self.key, self.begin, self.size, self.met))
+        self.ids = _longer(self.ids, end + 1)  # one more: behind a word there is always an id to read
+        self.key[self.count : n], self.size[self.count : n], self.met[self.count : n] = keys, sizes, False
+        self.begin[self.count : n] = self.end + np.cumsum(sizes) - sizes
+        self.ids[self.end : end] = ids
+        fresh, self.count, self.end = np.arange(self.count, n), n, end
+        if 2 * n > len(self.table):
+            size = 1 << (4 * n - 1).bit_length() - 1
+            self.table, self.number, fresh = np.zeros(size, U), np.zeros(size, np.int32), np.arange(n)
+        self._enter(fresh)
+
+    def again(self, most: int) -> Known:
+        """A table of the words that were found here, if these are no more than ``most``, or an empty one."""
+        out, stay = Known(), np.flatnonzero(self.met[: self.count])
+        if len(stay) <= most:
+            out.add(self.key[stay], self.size[stay], self.ids[_spans(self.begin[stay], self.size[stay])])
+        return out
 
 
 class Encoder:
@@ -39,30 +109,32 @@ class Encoder:
         plain = spec.get("normalizer") or spec["model"].get("dropout") or spec.get("truncation") or spec.get("padding")
         self.fast = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not plain and self.newline.sum() == 1
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.cache: dict[int, bytes] = {}
+        self.cache = Known()
+        self.mark = np.full(256, -1, np.int64)  # the id of a mark that stands alone, if it is one
+        if self.fast:
+            for m in MARKS:
+                ids = self.tok.encode(chr(m), add_special_tokens=False).ids
+                self.mark[m] = ids[0] if len(ids) == 1 else -1
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _cut(self, keys: list[int], text: str, begins: np.ndarray) -> None:
-        """Encode several words in one text; begins: the ids of which one opens each word and none stands elsewhere."""
-        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        data, at = ids.tobytes(), (np.append(np.flatnonzero(begins[ids]), len(ids)) * 4).tolist()
-        self.cache.update(zip(keys, map(data.__getitem__, map(slice, at[:-1], at[1:]))))
-
-    def _learn(self, keys: list[int], words: list[bytes], leads: list[int]) -> None:
+    def _learn(self, keys: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, leads: np.ndarray) -> None:
+        """Encode words, each from the separator before it. Several in one text where one id opens each word and stands nowhere else."""
         for lead in range(len(LEADS)):
-            some = [i for i, x in enumerate(leads) if x == lead]
+            some = np.flatnonzero(leads == lead)
+            size = end[some] - begin[some] + LEADS[lead]
+            data, edge = raw[_spans(begin[some] - LEADS[lead], size)].tobytes(), np.append(0, np.cumsum(size)).tolist()
             for a in range(0, len(some), CHUNK):
-                part = some[a : a + CHUNK]
-                own = [keys[i] for i in part]
-                if lead == 1:
-                    self._cut(own, b"".join(b" " + words[i] for i in part).decode(), self.opens)
-                elif lead == 2:
-                    self._cut(own, b"".join(b"\n" + words[i] for i in part).decode(), self.newline)
+                z = min(a + CHUNK, len(some))
+                if lead in (1, 2):
+                    found = self.tok.encode_batch_fast([data[edge[a] : edge[z]].decode()], add_special_tokens=False)
+                    ids = np.array(found[0].ids, "<u4")
+                    sizes = np.diff(np.append(np.flatnonzero((self.opens if lead == 1 else self.newline)[ids]), len(ids)))
                 else:
-                    for k, e in zip(own, self.tok.encode_batch_fast([(LEADS[lead] + words[i]).decode() for i in part], add_special_tokens=False)):
-                        self.cache[k] = np.array(e.ids, "<u4").tobytes()
+                    found = self.tok.encode_batch_fast([data[edge[i] : edge[i + 1]].decode() for i in range(a, z)], add_special_tokens=False)
+                    ids, sizes = np.array([i for e in found for i in e.ids], "<u4"), np.array([len(e) for e in found])
+                self.cache.add(keys[some[a:z]], sizes, ids)
 
     def _regular(self, w: Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Which rows have only single spaces and one or two newlines between words; the lead of every word."""
@@ -92,26 +164,27 @@ class Encoder:
         w = Words(texts)
         good, lead = self._regular(w, texts)
         used = np.flatnonzero(good[w.doc])
-        key = mix(w.hashes()[used] + lead[used].astype(U) * U(0x632BE59BD9B4E019))
-        distinct, inverse = np.unique(key, return_inverse=True)
-        if len(self.cache) > cached:
-            self.cache = {}
-        names = distinct.tolist()
-        found = list(map(self.cache.get, names))
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
-            one = np.empty(len(distinct), np.int64)
-            one[inverse] = used
-            at, data = one[new], w.raw.tobytes()
-            self._learn([names[i] for i in new], [data[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist())], lead[at].tolist())
-            for i in new:
-                found[i] = self.cache[names[i]]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat, begin = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        start, stop, lead = w.start[used], w.end[used], lead[used]
+        mark, before, lead_byte = self.mark[w.raw[stop - 1]], w.raw[np.maximum(stop - 2, 0)], w.raw[np.maximum(stop - 3, 0)]
+        letter = ~NOT_ALNUM[before] & (before < 128) | (lead_byte == 0xC3) & (before >= 128) & (before != 0x97) & (before != 0xB7)  # U+00C0 to U+00FF
+        marked = (mark >= 0) & (stop - start > 1) & letter
+        stop = stop - marked
+        key = np.maximum(mix(w.hash_of(start, stop) + lead.astype(U) * U(0x632BE59BD9B4E019)), U(1))
+        if self.cache.count > cached:
+            self.cache = self.cache.again(cached // 2)
+        number = self.cache.find(key)
+        new = np.flatnonzero(number < 0)
+        self.cache.met[number[number >= 0]] = True
+        if len(new):
+            distinct, at = np.unique(key[new], return_index=True)
+            one = new[at]
+            self._learn(distinct, w.raw, start[one], stop[one], lead[one])
+            number[new] = self.cache.find(key[new])
         count = np.zeros(len(w.start), np.int64)
-        count[used] = size[inverse]
+        count[used] = self.cache.size[number] + marked
         end = np.cumsum(count)
-        ids = flat[np.repeat(begin[inverse] - (end - count)[used], count[used]) + np.arange(end[-1] if len(end) else 0)]
+        ids = self.cache.ids[_spans(self.cache.begin[number], count[used])]
+        ids[end[used[marked]] - 1] = mark[marked]
         edges = (np.concatenate([[0], end])[w.first] * 4).tolist()
         data = ids.tobytes()
         return [data[a:b] if g else self.plain(t.as_py()) for g, a, b, t in zip(good.tolist(), edges[:-1], edges[1:], texts)]

@@ -321,6 +321,41 @@ def test_recall_direction_and_comparison(library):
     assert set(ask(library, "Compare RX-100 and RX200 camera")) == {"r1", "r2"}
 
 
+def test_recall_answers_equal_requests_once(spark, monkeypatch):
+    """Requests that differ only in their ids are one plan, records without a plan's first value are no evidence, and vectors of others do not travel."""
+    rows = [(f"r{i}", "s", f"c{i % 4}.org", "visit", f"paid ${i}.50 for model RX-{i % 10} with order {i}", None, ago(i % 50), "confirmed" if i % 9 == 0 else "observed") for i in range(100)]
+    records = spark.createDataFrame([(*r, r[4], "unknown", False, [], 1) for r in rows], "atom string, source string, site string, kind string, title string, query string, last_seen timestamp, state string, effective_text string, subject string, suppressed boolean, corrections array<string>, sessions long")
+    embedded = spark.createDataFrame([(f"r{i}", [1.0, float(i % 3)]) for i in range(100)], "atom string, vector array<double>")
+    kinds = [("What did model RX-3 cost?", (1.0, 0.0), 4096), ("What did model RX-4 cost?", (1.0, 0.0), 4096), ("What did model RX-3 cost?", (0.0, 1.0), 4096), ("What did model RX-3 cost?", (1.0, 0.0), 800)]
+    asked = [plans.Request(f"q{i}", "s", q, vector=v, max_bytes=most) for i in range(40) for q, v, most in [kinds[i % 4]]]
+    staged, scored, stage, cosine = {}, [], plans.stage, search.cosine_scores
+    monkeypatch.setattr(plans, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    monkeypatch.setattr(search, "cosine_scores", lambda *a, **k: scored.append(cosine(*a, **k)) or scored[-1])
+
+    def packets(requests):
+        staged.clear()
+        got = plans.recall(requests, records, embedded, as_of()).collect()
+        return {q: [tuple(r)[1:] for r in sorted(got, key=lambda r: r.position) if r.request_id == q] for q in {r.request_id for r in got}}
+
+    got = packets(asked)
+    assert staged["plans"].count() == 4 and {r.atom for r in staged["evidence"].collect()} == {f"r{i}" for i in range(100) if i % 10 in (3, 4)}
+    assert len(scored) == 1 and scored[0].select("request_id", "doc").distinct().count() == scored[0].count() <= 4 * 10
+    # with more keys than are sent out all records are evidence, and the packets are the same
+    monkeypatch.setattr(plans, "KEYS_AT_MOST", 1)
+    few = packets(asked[:4])
+    assert staged["evidence"].count() == 100 and all(few.values()) and len(few["q3"]) < len(few["q0"]) and few["q0"] != few["q1"]
+    assert got == {f"q{i}": few[f"q{i % 4}"] for i in range(40)}
+
+
+def test_near_keeps_all_that_a_join_needs(spark):
+    from tidemark.tables import near
+
+    rows = spark.createDataFrame([(f"k{i}" if i else None, i) for i in range(3000)], "k string, n int")
+    ids = spark.createDataFrame([(f"k{i}",) for i in range(0, 3000, 7)] + [(None,), ("other",)], "id string")
+    got = [r.n for r in near(rows, "k", ids, "id").collect()]
+    assert {i for i in range(7, 3000, 7)} <= set(got) and len(got) == len(set(got)) < 500
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     """Ties, empty vectors and several blocks of requests give what all pairs give."""
     import numpy as np

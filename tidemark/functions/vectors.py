@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from .sites import _col
+from .text import once
 
 
 def doubles(v: Column | str) -> Column:
@@ -26,8 +27,8 @@ def norm(v: Column | str) -> Column:
 
 def normalize(v: Column | str) -> Column:
     """Unit length; null if the length is under 1e-12."""
-    n = norm(v)
-    return F.when(n >= 1e-12, F.transform(doubles(v), lambda x: x / n))
+    # the length is taken once: inside the inner function it would be taken for each component
+    return once(norm(v), lambda n: F.when(n >= 1e-12, F.transform(doubles(v), lambda x: x / n)))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import shared_dir, stage, sweep, trim  # noqa: F401
+from ..tables import maybe_in, shared_dir, stage, sweep, trim  # noqa: F401
 from .hashing import give_back
 
 
@@ -34,28 +33,6 @@ def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mo
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in more]).where(F.col("doc_id").isNotNull())
 
 
-#: Bits of a filter of ids (4 MiB), whatever the number of ids.
-FILTER_BITS = 1 << 25
-
-
-def maybe_in(ids: DataFrame, column: str) -> Callable[[DataFrame, str, str], DataFrame]:
-    """A filter of ids[column], of a fixed size: (df, col, name) gives df with a boolean column ``name``, true where
-    df[col] is in ids and for few other values as long as there are fewer ids than ``FILTER_BITS``. The filter is
-    broadcast as at most FILTER_BITS / 32768 rows of 4 KiB and tested natively; joins behind it stay exact."""
-    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS)) + 1
-    places = ids.select(slot(column).alias("s"))
-    bits = stage(places.groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits")), "filter")
-
-    def mark(df: DataFrame, col: str, name: str) -> DataFrame:
-        at = F.bitmap_bit_position(slot(col))
-        byte = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0, F.lit(False))
-        joined = df.join(F.broadcast(bits), F.bitmap_bucket_number(slot(col)) == F.col("_bucket"), "left")
-        return joined.select(*[df[c] for c in df.columns], F.when(df[col].isNull(), F.lit(False)).otherwise(hit).alias(name))
-
-    return mark
-
-
 def whole_row(df: DataFrame) -> Column:
     """All columns as one, so that no name of theirs clashes with an operator's own."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

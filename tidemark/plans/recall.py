@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,12 +107,22 @@ def plans_frame(requests: DataFrame) -> DataFrame:
     return df.withColumns({"main_terms": text.query_terms("main"), "terms": text.query_terms("wide")})
 
 
-def evidence_values(body: Column | str) -> Column:
-    """Equality values that an evidence text holds, as 'kind|value'; and 'answer|type' for money and each quantity family."""
+def told_apart(requests: DataFrame) -> DataFrame:
+    """requests with ``same``, a digest of all but their ids: requests that agree in it have the same packet."""
+    rest = [c.split()[0] for c in REQUEST.split(", ")][1:]
+    return requests.withColumn("same", F.sha2(F.to_json(F.struct(*rest)), 256))
+
+
+def evidence_values(body: Column | str, keys: Broadcast[frozenset[str]] | None = None) -> Column:
+    """Equality values that an evidence text holds, as 'kind|value'; and 'answer|type' for money and each quantity family.
+    ``keys``: only texts that may hold one of these are read in full, the others give null."""
+    kinds = None if keys is None else sorted({k.partition("|")[0] for k in keys.value})
 
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
-        def held(t: str | None) -> list[str]:
+        def held(t: str | None) -> list[str] | None:
+            if kinds is not None and not contract.may_hold(t, keys.value, kinds):
+                return None
             found = contract.spans(t)
             out = {f"{x.kind}|{x.normalized}" for x in found}
             out |= {"answer|money" for x in found if x.kind == "money"}
@@ -119,20 +130,21 @@ def evidence_values(body: Column | str) -> Column:
             out |= {f"direction|{d.source}|{d.target}" for d in [contract.direction(t or "")] if d}
             return sorted(out)
 
-        return s.map(held)
+        return pd.Series([held(t) for t in s], dtype=object)
 
-    return run(body)
+    return run.asNondeterministic()(body)  # so that no filter on the values takes them twice
 
 
-def evidence(records: DataFrame, as_of: Column, d: Defaults = DEFAULTS) -> DataFrame:
-    """records (effective rows with ``sessions``) with what the checks need. Native parts first; typed values come from one
-    Arrow pass that does not depend on the requests, so it can be stored beside the records."""
+def evidence(records: DataFrame, as_of: Column, d: Defaults = DEFAULTS, keys: Broadcast[frozenset[str]] | None = None) -> DataFrame:
+    """records (effective rows with ``sessions``) with what the checks need. Typed values come from one Arrow pass, which does
+    not depend on the requests unless ``keys`` are given: then only records that may hold one of these values are returned."""
     whole = F.concat_ws(" ", "title", "query")
     body = F.when(F.col("state") == "confirmed", F.col("effective_text")).otherwise(whole)
     retained = (F.col("state") == "confirmed") | (F.col("last_seen") >= as_of - F.make_dt_interval(F.lit(d.retention_days)))
     tokens = text.tokens(body)
-    return records.where(retained & ~F.col("suppressed")).withColumns({
-        "body": body, "raw": text.compact("effective_text"), "held": text.compact(F.concat_ws(" ", "site", body)), "values": evidence_values(body), "content": tokens,
+    rows = records.where(retained & ~F.col("suppressed")).withColumn("values", evidence_values(body, keys))
+    return rows.where("values is not null").withColumns({
+        "body": body, "raw": text.compact("effective_text"), "held": text.compact(F.concat_ws(" ", "site", body)), "content": tokens,
         "plain": (F.col("query").isNull() & text.generic_title("title")) | (F.col("query").isNotNull() & ~text.groupable("title", "query")),
     }).withColumn("content", F.array_union("content", F.transform(F.filter("values", lambda v: v.startswith("identifier|")), lambda v: F.substring(v, F.lit(12), F.length(v)))))
 
@@ -149,22 +161,33 @@ def checked() -> Column:
     return scope & exact & answer & named & ~bare & ~useless
 
 
+#: Equality values that are sent to the tasks, which then read only records that may hold one; if there are more, all are read.
+KEYS_AT_MOST = 100_000
+
+
 def recall(requests: list[Request] | DataFrame, records: DataFrame, embedded: DataFrame | None, as_of: Column, excluded: list[str] | None = None, d: Defaults = DEFAULTS) -> DataFrame:
     """Packets of a batch of requests: a list, or a table (``REQUEST``). records: effective rows with ``sessions``; embedded:
     (atom, vector).
 
     A plan with equality values meets, by the first of them, only records that hold it; a plan without any meets what the
     channels propose by equi-joins on terms, by similarity and among confirmed records. Only these are joined with evidence
-    and plans for the hard checks. Evidence and plans are written once. Excluded sites and retention are filters on the
-    records' columns, so they reach the scan."""
+    and plans for the hard checks. Evidence and plans are written once; without plans of the second sort only records that may
+    hold a first value are evidence. Requests that differ in nothing but their ids are answered once. Excluded sites and
+    retention are filters on the records' columns, so they reach the scan."""
     if not isinstance(requests, DataFrame):
         requests = requests_frame(records.sparkSession, requests)
-    plans = stage(plans_frame(requests).where("not unsupported and size(main_terms) > 0"), "plans")
-    rows = stage(evidence(records.where(sites.site_policy("site", excluded or [])), as_of, d).withColumn("forms", text.held_forms("content")), "evidence")
-    own = rows.withColumnRenamed("source", "r_source")
+    asked = told_apart(requests)
+    plans = stage(plans_frame(asked.withColumn("request_id", F.col("same")).drop("same").distinct()).where("not unsupported and size(main_terms) > 0"), "plans")
     keyed, free = plans.where("size(equal) > 0"), plans.where("size(equal) = 0")
+    keys = None
+    if not free.limit(1).count():
+        firsts = [r.key for r in keyed.select(F.element_at("equal", 1).alias("key")).distinct().limit(KEYS_AT_MOST + 1).collect()]
+        keys = records.sparkSession.sparkContext.broadcast(frozenset(firsts)) if len(firsts) <= KEYS_AT_MOST else None
+    rows = stage(evidence(records.where(sites.site_policy("site", excluded or [])), as_of, d, keys).withColumn("forms", text.held_forms("content")), "evidence")
+    own = rows.withColumnRenamed("source", "r_source")
     met = own.withColumn("key", F.explode("values")).join(keyed.withColumn("key", F.element_at("equal", 1)), "key").where("r_source = source").drop("key")
     only = met.where("state = 'observed'").select(F.col("plan_id").alias("request_id"), F.col("atom").alias("doc")).distinct()
+    only = stage(only, "met") if keyed.limit(1).count() else only
 
     def proposed(some: DataFrame, only: DataFrame | None) -> DataFrame:
         """(plan_id, atom, bm25, cosine); corpus statistics are over all records, before any filter."""
@@ -202,4 +225,6 @@ def recall(requests: list[Request] | DataFrame, records: DataFrame, embedded: Da
     relation = F.when(way(F.col("way_source"), F.col("way_target")), 0).when(way(F.col("way_target"), F.col("way_source")), 2).otherwise(1)
     ordered = full.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(relation, F.desc("score"), "atom")))
     grouped = search.payload_groups(ordered.withColumn("doc", F.col("atom")), ["kind", "state", "subject", "title", "query"])
-    return packet.select(packet.formatted(grouped).select("request_id", "atom", "site", "record", "rank", "group_rank", "arms", "all_arms", "max_bytes"), d)
+    packets = packet.select(packet.formatted(grouped).select("request_id", "atom", "site", "record", "rank", "group_rank", "arms", "all_arms", "max_bytes"), d)
+    each = asked.select("request_id", "same").distinct()
+    return packets.withColumnRenamed("request_id", "same").join(each, "same").select("request_id", *packets.columns[1:])
